@@ -1,0 +1 @@
+"""Empty on purpose: the SQL dialect served here has no streaming statements, so no streaming operators are invented."""
