@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import sequence_files
+from orrery.llm import sequence_files, simhash, warc_bundles
 from orrery.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "token-files")
     sequence_files.write_sequences(table(spark, sf_dir, "documents"), out, tokenizer_json("byte_bpe_50k.json"), end_id=2)
     return sequence_files.document_digests(spark, out)
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "warc")
+    warc_bundles.write_bundles(warc_bundles.mark_revisits(table(spark, sf_dir, "pages"), min_revisit_bytes=1000), out)
+    return warc_bundles.read_bundles(spark, out, with_payload=False).drop("url")
+
+
+ORACLE_SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN MAX(page_id) OVER (PARTITION BY payload_digest) END AS response_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN response_id IS NOT NULL AND page_id IS DISTINCT FROM response_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response_id THEN response_id END AS refers_to
+FROM q
+"""
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
