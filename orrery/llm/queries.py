@@ -7,9 +7,10 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import mixing, sequence_files, simhash, warc_bundles
-from orrery.llm.common import scratch_dir
+from orrery.llm import language_id, mixing, sequence_files, simhash, warc_bundles
+from orrery.llm.common import id_bucket, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +61,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, train=id_bucket("doc_id", 3) != 1)
+    held_out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket("doc_id", 3) == 1).alias("held_out"), "text")
+    return language_id.identify(held_out, model).drop("text")
