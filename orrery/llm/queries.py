@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, sequence_files, simhash, warc_bundles
+from orrery.llm import forced_bpe, language_id, merkle, mixing, sequence_files, simhash, warc_bundles
 from orrery.llm.common import id_bucket, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,36 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, train=id_bucket("doc_id", 3) != 1)
     held_out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket("doc_id", 3) == 1).alias("held_out"), "text")
     return language_id.identify(held_out, model).drop("text")
+
+
+@query
+def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return forced_bpe.round_trip_digests(docs, tokenizer_json("word_bpe_49k.json")).drop("text")
+
+
+@query
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op6_merkle"] = rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars,
+             COALESCE(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
+      FROM d),
+e AS (SELECT *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) AS edited FROM n),
+p AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+             list_transform(regexp_extract_all(text, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS a,
+             list_transform(regexp_extract_all(edited, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS b,
+             list_transform(regexp_extract_all(next_text, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS c FROM e),
+s AS (SELECT *, COALESCE(array_to_string(list_transform(range(0, (len(a) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(a, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sa,
+                COALESCE(array_to_string(list_transform(range(0, (len(b) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(b, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sb,
+                COALESCE(array_to_string(list_transform(range(0, (len(c) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(c, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sc FROM p)
+SELECT doc_id, n_chars, edited_sha256,
+       md5(sa) || ':' || sa || ':' || COALESCE(array_to_string(a, ''), '') AS fingerprint,
+       md5(sb) || ':' || sb || ':' || COALESCE(array_to_string(b, ''), '') AS edited_fingerprint,
+       CASE WHEN md5(sa) = md5(sb) THEN 1.0 ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) END AS near_edited,
+       CASE WHEN md5(sa) = md5(sc) THEN 1.0 ELSE len(list_intersect(a, c)) / greatest(len(list_distinct(list_concat(a, c))), 1) END AS near_next
+FROM s
+"""
