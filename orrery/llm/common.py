@@ -7,7 +7,9 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,6 +22,20 @@ BROADCAST_LIMIT_BYTES = 24 * 2**20
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on executors: a zip of its sources, sent once a session through Spark."""
+    sc = spark.sparkContext
+    if getattr(sc, "_orrery_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="orrery-code-")) / "orrery.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"{top.name}/{p.relative_to(top)}")
+    sc.addPyFile(str(target))
+    sc._orrery_shipped = True
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a temporary one is set first."""
     base = spark.conf.get("spark.checkpoint.dir", None)

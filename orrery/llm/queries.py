@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import forced_bpe, language_id, merkle, mixing, sequence_files, simhash, warc_bundles
-from orrery.llm.common import id_bucket, scratch_dir
+from orrery.llm import forced_bpe, language_id, merkle, mixing, sequence_files, simhash, toxicity, warc_bundles
+from orrery.llm.common import id_bucket, scratch_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = shipped
+    return shipped
 
 
 def tokenizer_json(name: str) -> str:
@@ -102,3 +108,11 @@ SELECT doc_id, n_chars, edited_sha256,
        CASE WHEN md5(sa) = md5(sc) THEN 1.0 ELSE len(list_intersect(a, c)) / greatest(len(list_distinct(list_concat(a, c))), 1) END AS near_next
 FROM s
 """
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_rows=id_bucket("doc_id", 4) != 2)
+    held_out = docs.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "text")
+    return toxicity.score(held_out, model).drop("text")
