@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import forced_bpe, language_id, merkle, mixing, sequence_files, simhash, toxicity, warc_bundles
+from orrery.llm import forced_bpe, language_id, merkle, mixing, nearest, sequence_files, simhash, toxicity, warc_bundles
 from orrery.llm.common import id_bucket, scratch_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_rows=id_bucket("doc_id", 4) != 2)
     held_out = docs.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "text")
     return toxicity.score(held_out, model).drop("text")
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
