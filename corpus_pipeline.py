@@ -1,8 +1,77 @@
-"""A corpus pipeline: language ID, near-duplicate removal, repeated passages, source mixing, tokens."""
+"""A corpus pipeline over `documents`: language identification, near-duplicate removal, removal of repeated passages, mixing of sources, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept, written and read again, and returns a DataFrame. All but the last
+return the columns of documents (doc_id, text, lang, source, n_chars). A stage first deletes the scratch tables of stages before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import forced_bpe, language_id, mixing, paragraphs, simhash
+from orrery.llm.common import release_scratch, scratch_dir, ship_package
+from orrery.llm.queries import tokenizer_json
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language (null, or no letter) go; a missing lang is filled in from the text."""
+    _begin(spark)
+    model = language_id.fit(docs, train=F.lit(True))
+    found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    _begin(spark)
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat an earlier one are cut out; documents of which nothing but white space is left go."""
+    _begin(spark)
+    found = paragraphs.remove_repeats(docs).where((F.col("removed_words") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return found.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them: not at all, or up to three times."""
+    _begin(spark)
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, token_ids) of every document."""
+    _begin(spark)
+    found = forced_bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer_json("word_bpe_49k.json"))
+    return found.select("doc_id", "lang", "source", F.size("token_ids").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Language models, fingerprint components and byte-pair merges are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _begin(spark: SparkSession) -> None:
+    ship_package(spark)
+    release_scratch(spark)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = scratch_dir(spark, "pipeline", keep=True)
+    for name, stage in STAGES:
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(f"{out}/{name}")
+        docs = spark.read.parquet(f"{out}/{name}")
+    return docs

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 24 * 2**20
 
 _scratch: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -36,8 +37,9 @@ def ship_package(spark: SparkSession) -> None:
     sc._orrery_shipped = True
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a temporary one is set first."""
+def scratch_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a temporary one is set first.
+    Folders go at release_scratch() (unless keep) or at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -45,12 +47,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not found.isDefined():
             spark.sparkContext.setCheckpointDir(base)
     out = f"{base.rstrip('/')}/orrery/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, out))
+    (_kept if keep else _scratch).append((spark, out))
     return out
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch folder handed out so far. DataFrames that still read them must have been written before."""
+    """Delete every scratch folder handed out so far without keep. DataFrames that still read them must have been written before."""
     while _scratch:
         _, path = _scratch.pop()
         with contextlib.suppress(Exception):
@@ -65,7 +67,7 @@ def delete_tree(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _scratch:
+    for spark, path in _scratch + _kept:
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 delete_tree(spark, path)

@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized
+from orrery.llm.common import materialized, maybe_broadcast
 
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-_STATE = "source string, doc_id long, size long, p double, level int, block long"
+_STATE = "source string, doc_id long, rid long, size long, p double, level int, block long"
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = MAX_REPEATS) -> np.ndarray:
@@ -50,7 +50,8 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], cap: float =
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, rid, source, size): rid is a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -92,11 +93,11 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray, last: float | None
 
 
 def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int) -> DataFrame:
-    """(source, doc_id, size, p): p of every row rounded to 0 or 1. fractions has _STATE's columns, blocks numbered from 0 in each source."""
+    """(source, doc_id, rid, size, p): p of every row rounded to 0 or 1. fractions has _STATE's columns, blocks numbered from 0 in each source."""
 
     def combine(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["doc_id", "size", "rid"], na_position="first", kind="stable").reset_index(drop=True)
             source = pdf["source"].iloc[0]
             key = f"{'' if source is None else 's' + source}/{pdf['block'].iloc[0]}"
             draws = _draws(seed, level, key, len(pdf) + 1)
@@ -118,24 +119,38 @@ def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int) -> DataFr
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return out.select("source", "doc_id", "size", "p")
+    return out.select("source", "doc_id", "rid", "size", "p")
 
 
 def mix(docs: DataFrame, seed: int = 7, block_rows: int = 20_000, fan_in: int = 64) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) a row of docs: taken is the words that the mix takes, repeats counted.
+    """(doc_id, rid, source, size, source_size, target, copies, taken) a row of docs: taken is the words that the mix takes, repeats counted.
 
     Shuffles carry ids and sizes only. A hot source is many blocks of about block_rows, by a hash of its ids."""
     sizes = materialized(sized(docs), "sizes")
     targets = source_targets(sizes)
     rate = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS)))).otherwise(0.0)
     blocks = F.ceil(F.col("n_docs") / block_rows).cast("long")
-    joined = sizes.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).select("source", "doc_id", "size", "source_size", "target", rate.alias("rate"), F.greatest(blocks, F.lit(1)).alias("blocks"))
+    joined = sizes.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).select("source", "doc_id", "rid", "size", "source_size", "target", rate.alias("rate"), F.greatest(blocks, F.lit(1)).alias("blocks"))
     most = targets.agg(F.max("n_docs")).first()[0] or 1
     levels = math.ceil(math.log(max(1, math.ceil(most / block_rows)), fan_in) - 1e-9)
     fraction = F.col("rate") - F.floor("rate")
-    state = joined.where((F.col("size") > 0) & (fraction > 0)).select("source", "doc_id", "size", fraction.alias("p"), F.lit(0).alias("level"), F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"))
+    state = joined.where((F.col("size") > 0) & (fraction > 0)).select("source", "doc_id", "rid", "size", fraction.alias("p"), F.lit(0).alias("level"), F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"))
     drawn = rounded(state, levels, fan_in, seed)
-    whole = joined.where(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "size", F.lit(0.0).alias("p"))
+    whole = joined.where(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rid", "size", F.lit(0.0).alias("p"))
     result = drawn.union(whole).withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source")))
     copies = F.floor(rate).cast("long") + F.col("p").cast("long")
-    return result.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    return result.select("doc_id", "rid", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: docs' rows, each as often as mix() takes it. Documents without words are left out."""
+    plan = materialized(mix(docs, **options).where("copies > 0"), "mix")
+    key = ["doc_id", "rid", "source"]
+    plan = plan.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_alike"))
+    plan = materialized(plan.select(*(F.col(c).alias(f"_{c}") for c in key), "_copies", "_alike"), "mix-copies")
+    same = F.xxhash64("text").eqNullSafe(F.col("_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = docs
+    if not plan.where("_alike > 1").limit(1).isEmpty():  # copies of rows alike in id, text and source were added up
+        rows = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash", "source"]).drop("_hash")
+    found = rows.join(maybe_broadcast(plan, 64), same)
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

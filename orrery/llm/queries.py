@@ -66,7 +66,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("rid")
 
 
 @query

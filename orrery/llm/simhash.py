@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, rows
+from orrery.llm.common import materialized, maybe_broadcast, rows
 from orrery.llm.components import connected_components
 
 SEGMENT_BITS = 2
@@ -48,14 +48,15 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, rid, fp) a row: rid is a hash of the text, fp the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             fps = np.array([fingerprint(t, shingle_words) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch["doc_id"], batch["rid"], pa.array(fps)], names=["doc_id", "rid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
+    return keyed.mapInArrow(run, "doc_id long, rid long, fp long")
 
 
 def popcounts(fps: np.ndarray) -> np.ndarray:
@@ -157,12 +158,37 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component): for every distinct fingerprint, the smallest fingerprint reachable."""
+    points = materialized(marked.select("fp").distinct(), "fingerprint-points")
+    joined = connected_components(links(points, radius))
+    return materialized(points.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) a row of docs. Shuffles carry ids and fingerprints only, never texts."""
     marked = materialized(fingerprints(docs, shingle_words), "fingerprints")
-    points = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-points")
-    joined = connected_components(links(points.select("fp"), radius))
-    owners = points.join(joined, points["fp"] == joined["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    owners = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(_components(marked, radius), "fp")
     least = owners.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = owners.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest non-null doc_id, then text hash.
+
+    The kept rows' keys are broadcast where counted small, and joined otherwise. Rows alike in id and text come down to one."""
+    marked = materialized(fingerprints(docs, shingle_words), "fingerprints")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))
+    firsts = marked.groupBy("fp").agg(place.alias("place")).join(_components(marked, radius), "fp").groupBy("component").agg(F.min("place").alias("place"))
+    kept = materialized(firsts.select(F.col("place.doc_id").alias("kept_id"), F.col("place.rid").alias("kept_rid")), "kept")
+    same = F.xxhash64("text").eqNullSafe(F.col("kept_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    found = docs.join(maybe_broadcast(kept, 24), same, "left_semi")
+    alike = marked.groupBy("doc_id", "rid").count().where("count > 1")
+    alike = materialized(alike.select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")), "alike")
+    if alike.isEmpty():
+        return found
+    side = maybe_broadcast(alike, 24)
+    once = found.join(side, same, "left_semi")
+    once = once.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return found.join(side, same, "left_anti").union(once)
