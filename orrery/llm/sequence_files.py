@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.common import committed_file, open_random, rows
-from orrery.llm.text_encoding import PieceEncoder, has_cut_safe_splitter
+from orrery.llm.text_encoding import has_cut_safe_splitter, worker_encoder
 
 INDEX_SCHEMA = "file_no int, doc_id long, offset long, n_tokens long"
 
@@ -84,7 +84,7 @@ def write_sequences(docs: DataFrame, out_dir: str, tokenizer_json: str, end_id:
         first = next(batches := iter(rows(batches)), None)
         if first is None:
             return
-        encoder = PieceEncoder(shared.value)
+        encoder = worker_encoder(shared.value)
         end = np.array([end_id], encoder.dtype).tobytes()
         file_no, offset, index = TaskContext.get().partitionId(), 0, []
         with committed_file(file_uri(out_dir, file_no)) as out:

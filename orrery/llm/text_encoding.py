@@ -18,7 +18,7 @@ _OTHER_SPACE = re.compile("[^\\S \\n]|\u180e")
 class PieceEncoder:
     """Encodes whole texts to numpy arrays of ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, tokenizer_json: str, cache_pieces: int = 400_000):
+    def __init__(self, tokenizer_json: str, cache_pieces: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -26,11 +26,36 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.cache_pieces = cache_pieces
         self.cache: dict[str, bytes] = {}
+        self.id_bytes = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.id_bytes[i] = len(token)  # a character of the byte-level alphabet stands for one byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.id_bytes[i] = len(token.content.encode())
 
     def _direct(self, texts: Sequence[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in encoded]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that start with a blank and end without one: encoded as one text, and cut again where ids' bytes add up to a piece's."""
+        (encoded,) = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
+        ids = np.array(encoded.ids, self.dtype)
+        places = np.concatenate([[0], np.cumsum(self.id_bytes[ids])])
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        at = np.searchsorted(places, ends)
+        if len(ids) == 0 or at[-1] >= len(places) or (places[at] != ends).any():
+            return self._direct(pieces)
+        flat, cuts = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        joinable = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n"]
+        for at in range(0, len(joinable), 2000):
+            own = joinable[at : at + 2000]
+            self.cache.update(zip(own, self._joined(own), strict=True))
+        other = [p for p in pieces if p[0] not in " \n" or p[-1] in " \n"]
+        self.cache.update(zip(other, self._direct(other), strict=True))
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
         whole = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
@@ -38,12 +63,21 @@ class PieceEncoder:
         pieces = [[] if i in uncut else _PIECE.findall(t) for i, t in enumerate(texts)]
         if len(self.cache) > self.cache_pieces:
             self.cache.clear()
-        missing = list({p for x in pieces for p in x if p not in self.cache})
-        self.cache.update(zip(missing, self._direct(missing), strict=True))
+        self._learn(list(set().union(*pieces).difference(self.cache)))
         get = self.cache.__getitem__
         return [uncut[i] if i in uncut else b"".join(map(get, x)) for i, x in enumerate(pieces)]
 
 
+_held: list[tuple[str, PieceEncoder]] = []
+
+
+def worker_encoder(tokenizer_json: str) -> PieceEncoder:
+    """One encoder and cache a worker process, kept over its tasks."""
+    if not _held or _held[0][0] != tokenizer_json:
+        _held[:] = [(tokenizer_json, PieceEncoder(tokenizer_json))]
+    return _held[0][1]
+
+
 def has_cut_safe_splitter(tokenizer_json: str) -> bool:
     """Whether the tokenizer's splitter is the byte-level one that PieceEncoder's cuts are proven for."""
     import json
