@@ -1 +1 @@
-
+"""From SQL text to DataFrames: lexer, parser, planner, EXPLAIN."""
