@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import language_id
-from orrery.llm.common import rows
+from orrery.llm.common import materialized, maybe_broadcast, rows
 
 #: At most so many labelled rows of each class are used for fitting and calibration, those with the smallest hash of their id.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
+#: Of those, at most so many a language fit the language model.
+SAMPLE_PER_LANGUAGE = 200
 BUCKETS = 2**18
 CHANNELS = 8
 WIDTHS = (1, 2, 3)
@@ -216,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
                 names=["toxic", "place", "ids", "lang", "at", "value"],
             )
 
-    joined = docs.select("doc_id", "text", "lang").join(known.where(F.col("place") < limit), "doc_id")
+    chosen_ids = materialized(known.where(F.col("place") < limit), "toxicity-sample")
+    joined = docs.select("doc_id", "text", "lang").join(maybe_broadcast(chosen_ids, 24), "doc_id")
     got = joined.select("text", "lang", F.col("toxic").cast("int").alias("toxic"), "place").mapInArrow(run, "toxic int, place long, ids binary, lang string, at binary, value binary").collect()
     got = sorted(got, key=lambda r: (r["toxic"], r["place"], bytes(r["ids"])))
     kept = [[r for r in got if r["toxic"] == y][:per_class] for y in (0, 1)]
@@ -229,18 +232,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
 def fit_rows(chosen: list, counts: dict[int, int]) -> ToxicityModel:
     ids = [np.frombuffer(r["ids"], np.int32).reshape(2, -1) for r in chosen]
     y = np.array([r["toxic"] for r in chosen])
-    x = np.zeros((len(chosen), language_id.DIMENSIONS), np.float32)
-    for k, r in enumerate(chosen):
-        x[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
-    named = [k for k, r in enumerate(chosen) if r["lang"] is not None and x[k].any()]
-    by_lang: dict[str, int] = {}
-    few = [k for k in named if by_lang.setdefault(chosen[k]["lang"], 0) < 300 and not by_lang.update({chosen[k]["lang"]: by_lang[chosen[k]["lang"]] + 1})]
-    languages = language_id.fit_vectors(x[few], [chosen[k]["lang"] for k in few])
+
+    def vectors(picked: list) -> np.ndarray:
+        x = np.zeros((len(picked), language_id.DIMENSIONS), np.float32)
+        for k, r in enumerate(picked):
+            x[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
+        return x
+
+    by_lang: dict[str, list] = {}
+    for r in chosen:
+        if r["lang"] is not None and len(r["at"]) and len(own := by_lang.setdefault(r["lang"], [])) < SAMPLE_PER_LANGUAGE:
+            own.append(r)
+    few = [r for own in by_lang.values() for r in own]
+    languages = language_id.fit_vectors(vectors(few), [r["lang"] for r in few])
     held = np.arange(len(chosen)) % 4 == 3
     model = train([d for d, h in zip(ids, held, strict=True) if not h], y[~held])
     model.languages = languages
     logits = np.array([model.logit(d) for d, h in zip(ids, held, strict=True) if h])
-    langs, _ = languages.predict(x[held])
+    kept = [r for r, h in zip(chosen, held, strict=True) if h]
+    langs = [lang for at in range(0, len(kept), 256) for lang in languages.predict(vectors(kept[at : at + 256]))[0]]
     weights = np.where(y[held] == 1, counts[1] / max((y == 1).sum(), 1), counts[0] / max((y == 0).sum(), 1))
     model.shift = calibrate(logits, y[held], langs, weights)
     return model
