@@ -1,0 +1,77 @@
+import numpy as np
+
+from orrery.llm import paragraphs as P
+
+from .conftest import prose
+
+
+def passage(seed, n=60):
+    return prose(seed, n).replace("\n", " ")
+
+
+def run(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {(r.doc_id, k): r for k, r in enumerate(sorted(P.remove_repeats(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")))}
+
+
+def test_repeats_go_and_first_stays(prepared):
+    shared, edited = passage(100), passage(101, 80)
+    near = edited.split()
+    near[40] = "replacement"
+    rows = [(k, passage(k, 70) + "\n" + passage(50 + k, 40)) for k in range(6)]
+    rows += [(10, passage(200, 30) + "\n" + shared + "\n" + passage(201, 30)), (11, passage(202, 30) + "\n" + shared + "\n" + passage(203, 30))]  # a whole paragraph
+    rows += [(12, passage(204, 25) + " " + shared + " " + passage(205, 25))]  # inside a longer one
+    rows += [(20, edited + "\nown ending of twenty"), (21, " ".join(near) + "\nother ending of one")]  # near copy
+    found = {r.doc_id: r for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = dict(rows)
+    for k in (*range(6), 10, 20):
+        assert found[k].text == before[k] and found[k].removed == [] and found[k].removed_words == 0
+    assert found[11].text == passage(202, 30) + "\n" + passage(203, 30) and found[11].removed_words == 60
+    assert shared not in found[12].text and found[12].removed_words > 30
+    assert found[12].text.startswith(passage(204, 25)[:60]) and found[12].text.endswith(passage(205, 25)[-60:])
+    assert found[21].text == "other ending of one"
+    for k, r in found.items():
+        assert "".join(c for n, c in enumerate(before[k]) if not any(s.start <= n < s.end for s in r.removed)) == r.text
+
+
+def test_edges(edge_docs, empty_docs):
+    before, after = edge_docs.collect(), P.remove_repeats(edge_docs).collect()
+    assert len(after) == len(before) and P.remove_repeats(empty_docs).collect() == []
+    by_id = {}
+    for r in after:
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert [r.text for r in by_id[2]] == [None] and [r.text for r in by_id[3]] == [""]
+    assert all(r.removed_words == 0 for r in by_id[1]) and len(by_id[1]) == 2  # rows alike count as one document
+    assert by_id[6][0].text == "" and by_id[7][0].removed_words > 20
+    assert by_id[8][0].size == "clash"
+
+
+def test_bands_recall():
+    """Pairs at the threshold share a band nearly always; unlike ones nearly never."""
+    draw = np.random.default_rng(0)
+    hit = 0
+    for _ in range(150):
+        words = [f"w{x}" for x in draw.integers(0, 10**6, 104)]
+        other = [*words[:99], *(f"v{x}" for x in draw.integers(0, 10**6, 5))]  # similarity 95 / 105
+        cut = P.Cut([" ".join(words), " ".join(other)])
+        bands = cut.bands(np.array([0, 1]))
+        hit += bool((bands[0] == bands[1]).any())
+    assert hit >= 148
+
+
+def test_similarity_is_exact():
+    a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 3, 4, 5], np.uint64)
+    assert P.similarity(a, b) == 3 / 5 and P.similarity(a, a) == 1 and P.similarity(a[:0], a[:0]) == 1
+
+
+def test_block_pairs_keep_links(prepared, monkeypatch):
+    """A band larger than a block is compared in block pairs: all its near copies still end in one group."""
+    monkeypatch.setattr(P, "BLOCK_MEMBERS", 4)
+    base = passage(300, 90).split()
+    rows = []
+    for k in range(12):
+        words = list(base)
+        words[k * 7] = f"odd{k}"
+        rows.append((k, " ".join(words).replace(".", "").replace(",", "")))
+    found = P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.text} == {0}

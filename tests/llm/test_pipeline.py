@@ -1,0 +1,48 @@
+import corpus_pipeline as C
+from orrery.llm import mixing, queries
+from orrery.llm import simhash as S
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_on_edges(prepared, edge_docs, empty_docs, tmp_path):
+    for name, stage in C.STAGES:
+        empty = stage(prepared, empty_docs.select(*C.COLUMNS), SF)
+        assert empty.collect() == []
+        if name != "bpe":
+            assert empty.columns == C.COLUMNS and stage(prepared, edge_docs.select(*C.COLUMNS), SF).columns == C.COLUMNS
+    kept = C.identify_language(prepared, edge_docs.select(*C.COLUMNS), SF).collect()
+    assert {r.doc_id for r in kept if r.text} == {r.doc_id for r in edge_docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert all(r.lang is not None for r in kept)
+
+
+def test_run(prepared, tmp_path):
+    docs = prepared.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    for k, (_, stage) in enumerate(C.STAGES):
+        stage(prepared, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = prepared.read.parquet(f"{tmp_path}/{k}")
+        seen.append(docs.collect())
+    known, unique, cut, mixed, encoded = seen
+    assert len(known) == 200 or all(any(c.isalpha() for c in r.text) for r in known)
+    texts = {r.doc_id: r.text for r in known}
+    fps = [S.fingerprint(r.text) for r in unique]
+    assert all(bin(a ^ b).count("1") > 3 for k, a in enumerate(fps) for b in fps[:k])
+    gone = set(texts) - {r.doc_id for r in unique}
+    assert all(any(bin(S.fingerprint(texts[i]) ^ S.fingerprint(t)).count("1") <= 3 for j, t in texts.items() if j != i) for i in gone)
+    assert all(r.n_chars == len(r.text) for r in cut if r.text != texts[r.doc_id])
+    copies = {}
+    for r in mixed:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert max(copies.values()) <= mixing.MAX_REPEATS and set(copies) <= {r.doc_id for r in cut}
+    assert len(encoded) == len(mixed) and all(len(r.token_ids) == r.n_tokens > 0 for r in encoded)
+    assert len(C.run(prepared, SF).collect()) == len(encoded)
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert {"pipeline", *queries.QUERIES} <= names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert set(__spark_entry__.oracle_sql()) <= names
