@@ -8,8 +8,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -19,13 +20,20 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when its counted rows stay under this many bytes in total.
 BROADCAST_LIMIT_BYTES = 24 * 2**20
 
+T = TypeVar("T")
+
 _scratch: list[tuple[SparkSession, str]] = []
 _kept: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of an Arrow batch between Spark and Python workers: texts differ by a factor of thousands, so a count of rows bounds nothing.
+ARROW_BATCH_BYTES = 4 * 2**20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors: a zip of its sources, sent once a session through Spark."""
+    """Make this package importable on executors: a zip of its sources, sent once a session through Spark. Also bounds the session's Arrow batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     if getattr(sc, "_orrery_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -73,10 +81,19 @@ def _at_exit() -> None:
                 delete_tree(spark, path)
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to a scratch folder and read it again: cuts lineage, survives lost executors, and is computed once."""
+#: Written tables get a file for about so many of the rows they come from.
+ROWS_A_FILE = 200_000
+
+
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
+def materialized(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write a result to a scratch folder and read it again: cuts lineage, survives lost executors, and is computed once. parts, made from a
+    row count, keeps a small table from being spread over as many files as there are shuffle partitions."""
     out = scratch_dir(df.sparkSession, name)
-    df.write.parquet(out)
+    (df if parts is None else df.coalesce(parts)).write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
@@ -118,8 +135,20 @@ def open_random(uri: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
 
 
+_worker_state: dict[str, object] = {}
+
+
+def worker_state(name: str, make: Callable[[], T]) -> T:
+    """A cache that a worker process keeps over its tasks. Only one lives at a time: that of another operator goes."""
+    if name not in _worker_state:
+        _worker_state.clear()
+        _worker_state[name] = make()
+    return _worker_state[name]
+
+
 def rows(batches: Iterable[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that Python objects for only few texts live at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, maybe_broadcast, rows
+from orrery.llm.common import materialized, maybe_broadcast, parts_for, rows, worker_state
 from orrery.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -50,7 +50,7 @@ _PLACE = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     """token -> hash of its compared form, shifted left; the low bit tells whether a clause ends after it."""
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_EDGE).lower() or token
@@ -61,9 +61,6 @@ class _Words(dict):
         return found
 
 
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,14 +71,15 @@ class Cut:
     """The clauses and paragraphs of a batch of texts, as arrays over all of them."""
 
     def __init__(self, texts: list[str | None]):
-        if len(_words) >= _words.limit:
-            _words.clear()
+        words = worker_state("paragraph words", _Words)
+        if len(words) >= words.limit:
+            words.clear()
         tokens = [_TOKEN.findall(t or "") for t in texts]
         sizes = np.fromiter((len(x) + 1 for x in tokens), np.int64, len(tokens))
         packed = np.empty(int(sizes.sum()), np.uint64)
         at = 0
         for x, n in zip(tokens, sizes.tolist(), strict=True):
-            packed[at : at + n - 1] = np.fromiter(map(_words.__getitem__, x), np.uint64, n - 1)
+            packed[at : at + n - 1] = np.fromiter(map(words.__getitem__, x), np.uint64, n - 1)
             packed[at + n - 1] = _LINE_BREAK
             at += n
         breaks = packed == _LINE_BREAK
@@ -166,19 +164,19 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rid", "text").where("text IS NOT NULL").mapInArrow(run, _UNITS)
 
 
-def _paragraph_links(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> DataFrame:
     """(a, b): hashes of different paragraphs with similarity SIMILARITY or more that share a band."""
     banded = paragraphs.select("h", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band")
-    shared = materialized(shared, "shared-bands")
-    members = materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members")
-    wanted = materialized(members.select("h").distinct(), "compared")
+    shared = materialized(shared, "shared-bands", parts)
+    members = materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
+    wanted = materialized(members.select("h").distinct(), "compared", parts)
     if wanted.isEmpty():
         return members.select(F.col("h").alias("a"), F.col("band").alias("b"))
     place = F.min(F.struct("doc_id", "rid", "first", "stop")).alias("p")
     places = paragraphs.join(maybe_broadcast(wanted, 16), "h").groupBy("h").agg(place).select("h", "p.*")
     places = places.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "first", "stop")).alias("wanted"))
-    places = materialized(places.withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid"), "compared-places")
+    places = materialized(places.withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid"), "compared-places", parts)
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
     # Rows alike in id and text would each give the paragraph: one of them is enough.
     texts = docs.join(maybe_broadcast(places, 96), same).select("text", "wanted")
@@ -195,7 +193,7 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array([h for h, _ in found]), pa.array([s for _, s in found])], names=["h", "shingles"])
 
-    shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets", parts)
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "band").select("h", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -255,15 +253,16 @@ def _not_first(occurrences: DataFrame, key: str) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, spans): clause ranges of docs (doc_id, rid, text) that repeat an earlier paragraph or clause."""
     found = materialized(units(docs), "units")
+    parts = parts_for(found.count())
     clauses = found.where("bands IS NULL").select("h", "doc_id", "rid", "first", "stop")
     paragraphs = found.where("bands IS NOT NULL")
-    twice = materialized(clauses.groupBy("h").count().where("count > 1").select("h"), "repeated-clauses")
-    again = materialized(clauses.join(maybe_broadcast(twice, 16), "h"), "clause-places")
+    twice = materialized(clauses.groupBy("h").count().where("count > 1").select("h"), "repeated-clauses", parts)
+    again = materialized(clauses.join(maybe_broadcast(twice, 16), "h"), "clause-places", parts)
     flagged = _not_first(again, "h")
-    clusters = connected_components(_paragraph_links(docs, paragraphs)).withColumnRenamed("node", "h")
-    clusters = materialized(clusters, "paragraph-clusters")
+    clusters = connected_components(_paragraph_links(docs, paragraphs, parts), parts).withColumnRenamed("node", "h")
+    clusters = materialized(clusters, "paragraph-clusters", parts)
     members = paragraphs.join(maybe_broadcast(clusters, 24), "h").select("component", "doc_id", "rid", "first", "stop")
-    flagged = flagged.union(_not_first(materialized(members, "paragraph-places"), "component"))
+    flagged = flagged.union(_not_first(materialized(members, "paragraph-places", parts), "component"))
     return flagged.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("spans"))
 
 

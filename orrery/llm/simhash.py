@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, maybe_broadcast, rows
+from orrery.llm.common import materialized, maybe_broadcast, parts_for, rows
 from orrery.llm.components import connected_components
 
 SEGMENT_BITS = 2
@@ -126,7 +126,7 @@ def forest(fps: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray,
 
 def links(points: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): for distinct fingerprints fp, edges whose components are those of all links at radius or fewer differing bits."""
-    groups = group_count(points.count(), radius)
+    groups = group_count(points.count(), radius)  # points are a written table: its count is in the files' footers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_cell, held = None, []  # one cell's distinct fingerprints, 8 bytes each
@@ -160,9 +160,10 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
 
 def _components(marked: DataFrame, radius: int) -> DataFrame:
     """(fp, component): for every distinct fingerprint, the smallest fingerprint reachable."""
-    points = materialized(marked.select("fp").distinct(), "fingerprint-points")
-    joined = connected_components(links(points, radius))
-    return materialized(points.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    parts = parts_for(marked.count())
+    points = materialized(marked.select("fp").distinct(), "fingerprint-points", parts)
+    joined = connected_components(links(points, radius), parts)
+    return materialized(points.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-components", parts)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
@@ -181,11 +182,12 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFr
     marked = materialized(fingerprints(docs, shingle_words), "fingerprints")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))
     firsts = marked.groupBy("fp").agg(place.alias("place")).join(_components(marked, radius), "fp").groupBy("component").agg(F.min("place").alias("place"))
-    kept = materialized(firsts.select(F.col("place.doc_id").alias("kept_id"), F.col("place.rid").alias("kept_rid")), "kept")
+    parts = parts_for(marked.count())
+    kept = materialized(firsts.select(F.col("place.doc_id").alias("kept_id"), F.col("place.rid").alias("kept_rid")), "kept", parts)
     same = F.xxhash64("text").eqNullSafe(F.col("kept_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
     found = docs.join(maybe_broadcast(kept, 24), same, "left_semi")
     alike = marked.groupBy("doc_id", "rid").count().where("count > 1")
-    alike = materialized(alike.select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")), "alike")
+    alike = materialized(alike.select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")), "alike", parts)
     if alike.isEmpty():
         return found
     side = maybe_broadcast(alike, 24)

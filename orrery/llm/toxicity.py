@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import language_id
-from orrery.llm.common import materialized, maybe_broadcast, rows
+from orrery.llm.common import materialized, maybe_broadcast, rows, worker_state
 
 #: At most so many labelled rows of each class are used for fitting and calibration, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 2000
@@ -42,7 +42,7 @@ _EDGE = ".,;:!?\"'()[]{}|*#%&$<>-"
 class WordHashes(dict):
     """word -> both bucket numbers, packed; bounded."""
 
-    limit = 1_000_000
+    limit = 500_000
 
     def __missing__(self, word: str) -> int:
         core = word.strip(_EDGE).lower()
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
     for y, n in counts.items():
         limit = F.when(F.col("toxic") == y, float(min(1.0, (1.2 * per_class + 50) / n) * 2**40)).otherwise(limit)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_state("word hashes", WordHashes)
         for batch in rows(batches):
             texts = batch["text"].to_pylist()
             vectors = [language_id.features(t or "") for t in texts]
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_state("word hashes", WordHashes)
         for batch in rows(batches, 256):
             if len(hashes) >= hashes.limit:
                 hashes.clear()
