@@ -9,16 +9,32 @@ from collections.abc import Sequence
 import numpy as np
 from tokenizers import Tokenizer
 
+from orrery.llm.common import worker_state
+
 #: A piece starts with its leading blanks. The byte-level splitter never joins a non-blank with a following blank, and looks ahead over one blank run and one character only.
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Any other white space (by Python's wide definition, and one character on which definitions differ): the text is not cut.
-_OTHER_SPACE = re.compile("[^\\S \\n]|\u180e")
+#: Any other white space (by Python's wide definition, and one character on which definitions differ), and the marks of keys: the text is not cut.
+_UNCUT = [chr(c) for c in (0, 1, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _keys(text: str) -> list[str]:
+    """A text's pieces as cache keys: `word` for the piece ` word`, `\\nword` for itself, and any other piece after a mark."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        found = _PIECE.findall(text)
+        return [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p if p[0] == "\n" and p[1:2] not in (" ", "\n") else "\1" + p for p in found]
+    found = text.replace("\n", " \n").split(" ")
+    found[0] = "\0" + found[0]
+    return found
+
+
+def _piece(key: str) -> str:
+    return key[1:] if key[:1] in ("\0", "\1") else key if key[:1] == "\n" else " " + key
 
 
 class PieceEncoder:
     """Encodes whole texts to numpy arrays of ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, tokenizer_json: str, cache_pieces: int = 800_000):
+    def __init__(self, tokenizer_json: str, cache_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -48,34 +64,33 @@ class PieceEncoder:
         flat, cuts = ids.tobytes(), (at * self.dtype.itemsize).tolist()
         return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        joinable = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n"]
-        for at in range(0, len(joinable), 2000):
-            own = joinable[at : at + 2000]
-            self.cache.update(zip(own, self._joined(own), strict=True))
-        other = [p for p in pieces if p[0] not in " \n" or p[-1] in " \n"]
-        self.cache.update(zip(other, self._direct(other), strict=True))
+    def _learn(self, keys: list[str]) -> None:
+        pieces = list(map(_piece, keys))
+        joinable = [bool(p) and p[0] in " \n" and p[-1] not in " \n" for p in pieces]
+        own = [(k, p) for k, p, j in zip(keys, pieces, joinable, strict=True) if j]
+        for at in range(0, len(own), 2000):
+            part = own[at : at + 2000]
+            self.cache.update(zip([k for k, _ in part], self._joined([p for _, p in part]), strict=True))
+        other = [(k, p) for k, p, j in zip(keys, pieces, joinable, strict=True) if not j]
+        self.cache.update(zip([k for k, _ in other], self._direct([p for _, p in other]), strict=True))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
-        whole = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(c in t for c in _UNCUT)]
         uncut = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True))
-        pieces = [[] if i in uncut else _PIECE.findall(t) for i, t in enumerate(texts)]
-        if len(self.cache) > self.cache_pieces:
-            self.cache.clear()
-        self._learn(list(set().union(*pieces).difference(self.cache)))
+        keys = [[] if i in uncut else _keys(t) for i, t in enumerate(texts)]
+        if len(self.cache) > self.cache_pieces:  # short pieces come again soonest
+            self.cache = {k: v for k, v in self.cache.items() if len(k) <= 8}
+            if len(self.cache) > self.cache_pieces // 2:
+                self.cache.clear()
+        self._learn(list(set().union(*keys).difference(self.cache)))
         get = self.cache.__getitem__
-        return [uncut[i] if i in uncut else b"".join(map(get, x)) for i, x in enumerate(pieces)]
-
-
-_held: list[tuple[str, PieceEncoder]] = []
+        return [uncut[i] if i in uncut else b"".join(map(get, x)) for i, x in enumerate(keys)]
 
 
 def worker_encoder(tokenizer_json: str) -> PieceEncoder:
     """One encoder and cache a worker process, kept over its tasks."""
-    if not _held or _held[0][0] != tokenizer_json:
-        _held[:] = [(tokenizer_json, PieceEncoder(tokenizer_json))]
-    return _held[0][1]
+    return worker_state(f"piece encoder {hash(tokenizer_json)}", lambda: PieceEncoder(tokenizer_json))
 
 
 def has_cut_safe_splitter(tokenizer_json: str) -> bool:
