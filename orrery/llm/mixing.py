@@ -26,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, maybe_broadcast
+from orrery.llm.common import materialized, maybe_broadcast, parts_for
 
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-_STATE = "source string, doc_id long, rid long, size long, p double, level int, block long"
+#: known tells a null doc_id (kept as 0) apart: pandas would turn a column of longs with nulls into doubles.
+_STATE = "source string, doc_id long, known boolean, rid long, size long, p double, level int, block long"
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = MAX_REPEATS) -> np.ndarray:
@@ -92,12 +93,12 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray, last: float | None
     return p
 
 
-def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int) -> DataFrame:
+def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int, parts: int | None = None) -> DataFrame:
     """(source, doc_id, rid, size, p): p of every row rounded to 0 or 1. fractions has _STATE's columns, blocks numbered from 0 in each source."""
 
     def combine(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "size", "rid"], na_position="first", kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["known", "doc_id", "size", "rid"], kind="stable").reset_index(drop=True)
             source = pdf["source"].iloc[0]
             key = f"{'' if source is None else 's' + source}/{pdf['block'].iloc[0]}"
             draws = _draws(seed, level, key, len(pdf) + 1)
@@ -111,22 +112,23 @@ def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int) -> DataFr
 
         return run
 
-    parts, current = [], fractions
+    pieces, current = [], fractions
     for level in range(levels + 1):
-        current = materialized(current.groupBy("source", "block").applyInPandas(combine(level), _STATE), f"pivot-{level}")
-        parts.append(current.where("p = 0 OR p = 1"))
+        current = materialized(current.groupBy("source", "block").applyInPandas(combine(level), _STATE), f"pivot-{level}", parts)
+        pieces.append(current.where("p = 0 OR p = 1"))
         current = current.where("p > 0 AND p < 1")
-    out = parts[0]
-    for part in parts[1:]:
+    out = pieces[0]
+    for part in pieces[1:]:
         out = out.union(part)
-    return out.select("source", "doc_id", "rid", "size", "p")
+    return out.select("source", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "rid", "size", "p")
 
 
-def mix(docs: DataFrame, seed: int = 7, block_rows: int = 20_000, fan_in: int = 64) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, block_rows: int = 2_000, fan_in: int = 64) -> DataFrame:
     """(doc_id, rid, source, size, source_size, target, copies, taken) a row of docs: taken is the words that the mix takes, repeats counted.
 
     Shuffles carry ids and sizes only. A hot source is many blocks of about block_rows, by a hash of its ids."""
     sizes = materialized(sized(docs), "sizes")
+    parts = 4 * parts_for(sizes.count())
     targets = source_targets(sizes)
     rate = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS)))).otherwise(0.0)
     blocks = F.ceil(F.col("n_docs") / block_rows).cast("long")
@@ -134,8 +136,8 @@ def mix(docs: DataFrame, seed: int = 7, block_rows: int = 20_000, fan_in: int =
     most = targets.agg(F.max("n_docs")).first()[0] or 1
     levels = math.ceil(math.log(max(1, math.ceil(most / block_rows)), fan_in) - 1e-9)
     fraction = F.col("rate") - F.floor("rate")
-    state = joined.where((F.col("size") > 0) & (fraction > 0)).select("source", "doc_id", "rid", "size", fraction.alias("p"), F.lit(0).alias("level"), F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"))
-    drawn = rounded(state, levels, fan_in, seed)
+    state = joined.where((F.col("size") > 0) & (fraction > 0)).select("source", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "rid", "size", fraction.alias("p"), F.lit(0).alias("level"), F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"))
+    drawn = rounded(state, levels, fan_in, seed, parts)
     whole = joined.where(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rid", "size", F.lit(0.0).alias("p"))
     result = drawn.union(whole).withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source")))
     copies = F.floor(rate).cast("long") + F.col("p").cast("long")
@@ -144,7 +146,7 @@ def mix(docs: DataFrame, seed: int = 7, block_rows: int = 20_000, fan_in: int =
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows, each as often as mix() takes it. Documents without words are left out."""
-    plan = materialized(mix(docs, **options).where("copies > 0"), "mix")
+    plan = mix(docs, **options).where("copies > 0")
     key = ["doc_id", "rid", "source"]
     plan = plan.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_alike"))
     plan = materialized(plan.select(*(F.col(c).alias(f"_{c}") for c in key), "_copies", "_alike"), "mix-copies")
