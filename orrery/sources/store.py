@@ -33,7 +33,9 @@ class Store:
         schema = stored_schema(table)
         if not table.files:
             return self.spark.createDataFrame([], schema).drop(WAS)
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.data_uri}/{f}" for f in table.files)).drop(WAS)
+        # Pages carry checksums; a read that finds one wrong fails instead of returning damaged rows.
+        reader = self.spark.read.option("parquet.page.verify-checksum.enabled", "true")
+        rows = reader.schema(schema).parquet(*(f"{self.data_uri}/{f}" for f in table.files)).drop(WAS)
         if not table.removals:
             return rows
         removed = self.spark.read.schema(f"{RID} long, {WAS} long").parquet(*(f"{self.data_uri}/{f}" for f in table.removals))

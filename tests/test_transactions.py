@@ -236,3 +236,14 @@ def test_garbage_manifest_opens_empty(spark, tmp_path):
     (tmp_path / "db" / "manifest-000000000001.json").write_text("{}")
     with Database(f"file://{tmp_path}/db", spark) as db:
         assert db.table_names() == []
+
+
+def test_damaged_pages_are_reported(spark, tmp_path):
+    with Database(f"file://{tmp_path}/db", spark) as db:
+        ok(db, "CREATE TABLE t (v VARCHAR(99))", f"INSERT INTO t VALUES ('{'needle' * 9}')")
+        (part,) = (tmp_path / "db" / "data").glob("*/part-*.parquet")
+        data = bytearray(part.read_bytes())
+        data[data.find(b"needle") + 3] ^= 1
+        part.write_bytes(bytes(data))
+        (part.parent / f".{part.name}.crc").unlink()
+        assert db.execute("SELECT v FROM t").code is StatusCode.CORRUPTION
