@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orrery.llm.common import rows
+from orrery.llm.common import rows, worker_state
 
 #: White space by the Unicode property. Python's str.split() also splits at U+001C to U+001F; texts with those take the slower pattern.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -52,6 +52,8 @@ class ForcedBoundaryBPE:
         if model["type"] != "BPE" or unsupported or any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in spec["added_tokens"]):
             raise ValueError(f"unsupported tokenizer: {unsupported or model['type']}")
         self.library = Tokenizer.from_str(tokenizer_json)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.normalizer, self.splitter = self.library.normalizer, self.library.pre_tokenizer
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -177,12 +179,12 @@ class _Renderer(dict):
         return len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_json: str, cache_fragments: int = 200_000) -> DataFrame:
     """docs with token_ids (array of int) appended; one pass, no shuffle."""
-    return _mapped(docs, tokenizer_json, "token_ids array<int>", lambda bpe, texts: [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))])
+    return _mapped(docs, tokenizer_json, cache_fragments, "token_ids array<int>", lambda bpe, texts: [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))])
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_json: str, cache_fragments: int = 400_000) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 appended: digests of the ids' decimal text and of the text decoded from them."""
 
     def digests(bpe: ForcedBoundaryBPE, texts: list[str]) -> list[pa.Array]:
@@ -205,10 +207,10 @@ def round_trip_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
         sha = lambda values: pa.array([hashlib.sha256(v.encode("utf-8")).hexdigest() for v in values])
         return [pa.array(n, pa.int64()), sha(ids), sha(decoded)]
 
-    return _mapped(docs, tokenizer_json, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    return _mapped(docs, tokenizer_json, cache_fragments, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
-def _mapped(docs: DataFrame, tokenizer_json: str, added: str, make) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer_json: str, cache_fragments: int, added: str, make) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     names = [x.split(" ")[0] for x in added.split(", ")]
     kept = docs.drop(*names)
@@ -216,7 +218,7 @@ def _mapped(docs: DataFrame, tokenizer_json: str, added: str, make) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in rows(batches, 256):
-            bpe = bpe or _worker_bpe(shared.value)
+            bpe = bpe or _worker_bpe(shared.value, cache_fragments)
             columns = make(bpe, [t or "" for t in batch["text"].to_pylist()])
             yield pa.record_batch([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
@@ -224,11 +226,6 @@ def _mapped(docs: DataFrame, tokenizer_json: str, added: str, make) -> DataFrame
     return kept.mapInArrow(run, fields)
 
 
-_held: list[tuple[str, ForcedBoundaryBPE]] = []
-
-
-def _worker_bpe(tokenizer_json: str) -> ForcedBoundaryBPE:
+def _worker_bpe(tokenizer_json: str, cache_fragments: int) -> ForcedBoundaryBPE:
     """One encoder and cache a worker process, kept over its tasks."""
-    if not _held or _held[0][0] != tokenizer_json:
-        _held[:] = [(tokenizer_json, ForcedBoundaryBPE(tokenizer_json))]
-    return _held[0][1]
+    return worker_state(f"forced-boundary BPE {hash(tokenizer_json)} {cache_fragments}", lambda: ForcedBoundaryBPE(tokenizer_json, cache_fragments))
