@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import forced_bpe, language_id, mixing, paragraphs, simhash
-from orrery.llm.common import release_scratch, scratch_dir, ship_package
+from orrery.llm.common import release_scratch, scratch_count, scratch_dir, ship_package
 from orrery.llm.queries import tokenizer_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language (null, or no letter) go; a missing lang is filled in from the text."""
-    _begin(spark)
+    _begin(spark, first=True)
     model = language_id.fit(docs, train=F.lit(True))
     found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -62,9 +62,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _begin(spark: SparkSession) -> None:
+_stage_began_at = 0
+
+
+def _begin(spark: SparkSession, first: bool = False) -> None:
+    """Delete what the stage before this one left in scratch folders; it has been written by now."""
+    global _stage_began_at
     ship_package(spark)
-    release_scratch(spark)
+    if not first:
+        release_scratch(spark, _stage_began_at)
+    _stage_began_at = scratch_count()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

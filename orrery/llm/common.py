@@ -59,9 +59,13 @@ def scratch_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
     return out
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch folder handed out so far without keep. DataFrames that still read them must have been written before."""
-    while _scratch:
+def scratch_count() -> int:
+    return len(_scratch)
+
+
+def release_scratch(spark: SparkSession, since: int) -> None:
+    """Delete the scratch folders handed out without keep since scratch_count() was this. DataFrames that read them must have been written."""
+    while len(_scratch) > since:
         _, path = _scratch.pop()
         with contextlib.suppress(Exception):
             delete_tree(spark, path)
