@@ -17,10 +17,15 @@ def count(argument: Typed | None) -> Typed:
 
 
 def _wide_sum(argument: Typed) -> Column:
-    """Exact sum as decimal(38,0); narrow integers are added as 64-bit ones, which 2^32 rows of them cannot overflow."""
+    """Exact sum as a decimal. Narrow integers are added as 64-bit ones, which 2^32 rows of them cannot overflow. Wide ones are added in three
+    limbs of 21, 21 and 22 bits, which 2^41 rows cannot overflow, so that the hot loop adds plain longs and decimals appear once a group."""
+    v = argument.column.cast("bigint")
     if argument.sql_type in _NARROW:
-        return F.sum(argument.column.cast("bigint")).cast("decimal(38,0)")
-    return F.sum(argument.column.cast("decimal(28,0)"))
+        return F.sum(v).cast("decimal(38,0)")
+    mask = F.lit(2**21 - 1).cast("bigint")
+    limbs = [(v.bitwiseAND(mask), 1), (F.shiftright(v, 21).bitwiseAND(mask), 2**21), (F.shiftright(v, 42), 2**42)]
+    low, middle, high = (F.sum(limb).cast("decimal(20,0)") * F.lit(str(unit)).cast("decimal(14,0)") for limb, unit in limbs)
+    return (low + middle + high).cast("decimal(38,0)")
 
 
 def sum_(argument: Typed, ansi: bool) -> Typed:
