@@ -244,10 +244,12 @@ def _edges(held: list[tuple[int, int, np.ndarray]], key: tuple | None) -> Iterat
 
 
 def _not_first(occurrences: DataFrame, key: str) -> DataFrame:
-    """Occurrences (key, doc_id, rid, first, stop) without the first of each key."""
-    place = F.struct("doc_id", "rid", "first")
-    kept = occurrences.groupBy(key).agg(F.min(place).alias("kept"))
-    return occurrences.join(kept, key).where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "rid", "first", "stop")
+    """Occurrences (key, doc_id, rid, first, stop) without the first of each key. The join's key is the whole place, so that a key with very
+    many occurrences is dealt out evenly."""
+    kept = occurrences.groupBy(key).agg(F.min(F.struct("doc_id", "rid", "first")).alias("kept"))
+    kept = kept.select(F.col(key).alias("_key"), F.col("kept.doc_id").alias("_id"), F.col("kept.rid").alias("_rid"), F.col("kept.first").alias("_first"))
+    same = (F.col(key) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")) & (F.col("first") == F.col("_first"))
+    return occurrences.join(kept, same, "left_anti").select("doc_id", "rid", "first", "stop")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
