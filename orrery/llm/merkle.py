@@ -13,6 +13,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +59,18 @@ def differing_nodes(left: str, right: str) -> Column:
     return F.filter(every, lambda k: k.isNotNull())
 
 
+def _cuts_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below a value, searched in two levels of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[at : at + step] for at in range(0, len(cuts), step)]
+    literal = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    started = F.size(F.filter(literal([c[0] for c in chunks]), lambda cut: value > cut))
+    own = F.element_at(F.array(*map(literal, chunks)), F.greatest(started, F.lit(1)))
+    return F.when(started > 0, (started - 1) * step + F.size(F.filter(own, lambda cut: value > cut))).otherwise(0)
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, list[Column]]:
     """Rows dealt to ranges of ids for a window over `part`, and the order in it. Every range ends with a copy (halo) of the rows that follow it.
 
@@ -64,9 +78,8 @@ def in_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, list[Column]]:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = plain.select("doc_id")
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or [])) if ranges > 1 else []
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda cut: F.col("doc_id") > cut)) if cuts else F.lit(0)
-    home = F.when(F.col("doc_id").isNull(), 0).otherwise(above)
+    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
+    home = F.when(F.col("doc_id").isNull(), 0).otherwise(_cuts_below(F.col("doc_id"), cuts))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
     found = sorted(ids.groupBy(home.alias("home")).agg(first).collect(), key=lambda r: r["home"])
     heads = [(r["first"]["doc_id"], found[k - 1]["home"]) for k, r in enumerate(found)]

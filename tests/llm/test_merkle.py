@@ -62,3 +62,9 @@ def test_native_plan(edge_docs):
 def test_more_ranges_than_documents(prepared):
     df = prepared.range(5).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     assert sorted(map(str, (tuple(r) for r in M.fingerprint_edits(df, 50).collect()))) == sorted(map(str, brute([(k, f"text {k}") for k in range(5)])))
+
+
+def test_range_search(prepared):
+    for cuts in ([], [4], [1, 3, 5], list(range(0, 500, 7))):
+        df = prepared.range(-3, 520).select(F.col("id"), M._cuts_below(F.col("id"), cuts).alias("n"))
+        assert all(r.n == sum(c < r.id for c in cuts) for r in df.collect())
