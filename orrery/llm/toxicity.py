@@ -27,6 +27,8 @@ from orrery.llm.common import materialized, maybe_broadcast, rows, worker_state
 
 #: At most so many labelled rows of each class are used for fitting and calibration, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 2000
+#: Sampled rows of more words are left out of fitting (never of scoring), so that the sample's size on the driver has a bound.
+SAMPLE_WORDS = 4096
 #: Of those, at most so many a language fit the language model.
 SAMPLE_PER_LANGUAGE = 200
 BUCKETS = 2**18
@@ -207,16 +209,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
     limit = F.lit(0.0)
     for y, n in counts.items():
         limit = F.when(F.col("toxic") == y, float(min(1.0, (1.2 * per_class + 50) / n) * 2**40)).otherwise(limit)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_state("word hashes", WordHashes)
         for batch in rows(batches):
-            texts = batch["text"].to_pylist()
-            vectors = [language_id.features(t or "") for t in texts]
+            ids = [word_ids(t, hashes) for t in batch["text"].to_pylist()]
+            fits = [k for k, x in enumerate(ids) if x.shape[1] <= SAMPLE_WORDS]
+            vectors = [language_id.features(batch["text"][k].as_py() or "") for k in fits]
             at = [np.flatnonzero(x).astype(np.int16) for x in vectors]
-            yield pa.record_batch(
-                [batch["toxic"], batch["place"], pa.array([word_ids(t, hashes).tobytes() for t in texts]), batch["lang"], pa.array([a.tobytes() for a in at]), pa.array([x[a].tobytes() for x, a in zip(vectors, at, strict=True)])],
-                names=["toxic", "place", "ids", "lang", "at", "value"],
-            )
+            own = batch.take(pa.array(fits, pa.int64()))
+            columns = [pa.array([ids[k].tobytes() for k in fits], pa.binary()), own["lang"], pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x[a].tobytes() for x, a in zip(vectors, at, strict=True)], pa.binary())]
+            yield pa.record_batch([own["toxic"], own["place"], *columns], names=["toxic", "place", "ids", "lang", "at", "value"])
 
     chosen_ids = materialized(known.where(F.col("place") < limit), "toxicity-sample")
     joined = docs.select("doc_id", "text", "lang").join(maybe_broadcast(chosen_ids, 24), "doc_id")
