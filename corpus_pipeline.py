@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import forced_bpe, language_id, mixing, paragraphs, simhash
+from orrery.llm import forced_bpe, language_id, mixing, near_copies, paragraphs
 from orrery.llm.common import release_scratch, scratch_count, scratch_dir, ship_package
 from orrery.llm.queries import tokenizer_json
 
@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles alike by 0.8 or more) stays, that of the smallest doc_id."""
     _begin(spark)
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,12 +164,16 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rid", "text").where("text IS NOT NULL").mapInArrow(run, _UNITS)
 
 
-def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> DataFrame:
-    """(a, b): hashes of different paragraphs with similarity SIMILARITY or more that share a band."""
-    banded = paragraphs.select("h", F.explode("bands").alias("band"))
+def band_members(banded: DataFrame, parts: int) -> DataFrame:
+    """Distinct (h, band) of the bands that different h share, written."""
     shared = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band")
     shared = materialized(shared, "shared-bands", parts)
-    members = materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
+    return materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
+
+
+def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> DataFrame:
+    """(a, b): hashes of different paragraphs with similarity SIMILARITY or more that share a band."""
+    members = band_members(paragraphs.select("h", F.explode("bands").alias("band")), parts)
     wanted = materialized(members.select("h").distinct(), "compared", parts)
     if wanted.isEmpty():
         return members.select(F.col("h").alias("a"), F.col("band").alias("b"))
@@ -194,6 +198,11 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> Data
                 yield pa.record_batch([pa.array([h for h, _ in found]), pa.array([s for _, s in found])], names=["h", "shingles"])
 
     shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets", parts)
+    return verified_links(members, shingled)
+
+
+def verified_links(members: DataFrame, shingled: DataFrame) -> DataFrame:
+    """(a, b): links among the members (h, band) of each band, by the exact similarity of their sets (h, shingles as sorted uint64)."""
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "band").select("h", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
