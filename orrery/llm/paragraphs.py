@@ -2,8 +2,8 @@
 
 A paragraph is a line of at least MIN_PARAGRAPH_WORDS words. Paragraphs whose MinHash signatures share a band are compared by the exact Jaccard
 similarity of their five-word shingles; links at SIMILARITY or more form components. BANDS x ROWS are tuned for recall: a pair at the
-threshold shares a band with chance 1 - (1 - 0.8 ** 2) ** 5 = 0.994. Of a component the first paragraph (smallest doc_id, then place)
-stays, the others go.
+threshold shares a band with chance 1 - (1 - 0.8 ** 2) ** 5 = 0.994. Exact copies are one node of that graph. Of a component, or of the copies
+of a paragraph without links, the first (smallest doc_id, then place) stays, the others go.
 
 Passages inside longer paragraphs are found by the paragraphs' clauses (runs of words up to . ! ? , or the line's end): a clause that repeats, of
 MIN_CLAUSE_WORDS words or more, is kept where it comes first. A document loses runs of consecutive repeated clauses only where they add up to
@@ -271,6 +271,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = materialized(clauses.join(maybe_broadcast(twice, 16), "h"), "clause-places", parts)
     flagged = _not_first(again, "h")
     clusters = connected_components(_paragraph_links(docs, paragraphs, parts), parts).withColumnRenamed("node", "h")
+    copied = paragraphs.groupBy("h").count().where("count > 1").select("h")
+    clusters = copied.join(clusters, "h", "full").select("h", F.coalesce("component", "h").alias("component"))
     clusters = materialized(clusters, "paragraph-clusters", parts)
     members = paragraphs.join(maybe_broadcast(clusters, 24), "h").select("component", "doc_id", "rid", "first", "stop")
     flagged = flagged.union(_not_first(materialized(members, "paragraph-places", parts), "component"))

@@ -75,3 +75,11 @@ def test_block_pairs_keep_links(prepared, monkeypatch):
         rows.append((k, " ".join(words).replace(".", "").replace(",", "")))
     found = P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in found if r.text} == {0}
+
+
+def test_exact_copies_of_short_clauses_go(prepared):
+    """A list of clauses under MIN_CLAUSE_WORDS words has no clause to find, and its exact copy no different paragraph to link to."""
+    line = " ".join(f"item{k} of{k}," for k in range(30))
+    rows = [(k, passage(400 + k, 40) + "\n" + line) for k in range(3)]
+    found = {r.doc_id: r.text for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert line in found[0] and all(found[k].rstrip() == passage(400 + k, 40) for k in (1, 2))
