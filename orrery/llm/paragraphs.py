@@ -1,9 +1,9 @@
 """Repeated passages: paragraph MinHash banding, exact verification, removals clustered by components.
 
-A paragraph is a line of at least MIN_PARAGRAPH_WORDS words. Paragraphs whose MinHash signatures share a band are compared by the exact Jaccard
+A paragraph is a line of at least SHINGLE_WORDS words; shorter lines have no shingle. Paragraphs whose MinHash signatures share a band are compared by the exact Jaccard
 similarity of their five-word shingles; links at SIMILARITY or more form components. BANDS x ROWS are tuned for recall: a pair at the
 threshold shares a band with chance 1 - (1 - 0.8 ** 2) ** 5 = 0.994. Exact copies are one node of that graph. Of a component, or of the copies
-of a paragraph without links, the first (smallest doc_id, then place) stays, the others go.
+of a paragraph without links, the first (smallest doc_id, then place) stays, the others go whole, at any length.
 
 Passages inside longer paragraphs are found by the paragraphs' clauses (runs of words up to . ! ? , or the line's end): a clause that repeats, of
 MIN_CLAUSE_WORDS words or more, is kept where it comes first. A document loses runs of consecutive repeated clauses only where they add up to
@@ -34,7 +34,6 @@ from orrery.llm.components import connected_components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
-MIN_PARAGRAPH_WORDS = 20
 MIN_CLAUSE_WORDS = 4
 MIN_RUN_WORDS = 25
 #: Members of a band are compared in blocks of so many; a task holds two blocks.
@@ -92,9 +91,7 @@ class Cut:
         self.clause_ends = np.flatnonzero(clause_end) + 1
         self.clause_starts = np.concatenate([[0], self.clause_ends[:-1]]) if len(self.clause_ends) else self.clause_ends
         self.clause_doc = doc[self.clause_starts]
-        first = np.searchsorted(self.clause_doc, np.arange(len(texts)))
-        self.first_clause = first  # of each document, among all clauses
-        self.clause_no = np.arange(len(self.clause_ends)) - first[self.clause_doc]
+        self.first_word = np.searchsorted(doc, np.arange(len(texts) + 1))  # of each document, among all words
         self.line_ends = np.flatnonzero(line_end) + 1
         self.line_starts = np.concatenate([[0], self.line_ends[:-1]]) if len(self.line_ends) else self.line_ends
         self.line_doc = doc[self.line_starts]
@@ -134,31 +131,28 @@ class Cut:
         return out
 
 
-_UNITS = "doc_id long, rid long, first int, stop int, n_words int, h long, bands array<long>"
+_UNITS = "doc_id long, rid long, first int, stop int, h long, bands array<long>"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Rows for paragraphs (bands set) and clauses (bands null): clauses first to stop - 1 of document (doc_id, rid)."""
+    """Rows for paragraphs (bands set) and clauses (bands null): words first to stop - 1 of document (doc_id, rid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 256):
             cut = Cut(batch["text"].to_pylist())
-            doc_id, rid = batch["doc_id"], batch["rid"]
-            n = cut.clause_ends - cut.clause_starts
-            own = np.flatnonzero(n >= MIN_CLAUSE_WORDS)
+
+            def out(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bands: pa.Array) -> pa.RecordBatch:
+                of, base = pa.array(doc), cut.first_word[doc]
+                places = [pa.array((x - base).astype(np.int32)) for x in (starts, ends)]
+                return pa.record_batch([batch["doc_id"].take(of), batch["rid"].take(of), *places, pa.array(hashes.view(np.int64)), bands], names=names)
+
+            own = np.flatnonzero(cut.clause_ends - cut.clause_starts >= MIN_CLAUSE_WORDS)
             hashes = cut.sequence_hashes(cut.clause_starts, cut.clause_ends)
-            of = pa.array(cut.clause_doc[own])
-            no = cut.clause_no[own].astype(np.int32)
-            yield pa.record_batch([doc_id.take(of), rid.take(of), pa.array(no), pa.array(no + np.int32(1)), pa.array(n[own].astype(np.int32)), pa.array(hashes[own].view(np.int64)), pa.nulls(len(own), pa.list_(pa.int64()))], names=names)
-            n = cut.line_ends - cut.line_starts
-            own = np.flatnonzero(n >= MIN_PARAGRAPH_WORDS)
+            yield out(cut.clause_doc[own], cut.clause_starts[own], cut.clause_ends[own], hashes[own], pa.nulls(len(own), pa.list_(pa.int64())))
+            own = np.flatnonzero(cut.line_ends - cut.line_starts >= SHINGLE_WORDS)
             hashes = cut.sequence_hashes(cut.line_starts, cut.line_ends)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(cut.bands(own).ravel().view(np.int64)))
-            of = pa.array(cut.line_doc[own])
-            base = cut.first_clause[cut.line_doc[own]]
-            first = (np.searchsorted(cut.clause_starts, cut.line_starts[own]) - base).astype(np.int32)
-            stop = (np.searchsorted(cut.clause_ends, cut.line_ends[own]) + 1 - base).astype(np.int32)
-            yield pa.record_batch([doc_id.take(of), rid.take(of), pa.array(first), pa.array(stop), pa.array(n[own].astype(np.int32)), pa.array(hashes[own].view(np.int64)), bands], names=names)
+            yield out(cut.line_doc[own], cut.line_starts[own], cut.line_ends[own], hashes[own], bands)
 
     names = [x.split()[0] for x in _UNITS.split(", ")]
     return docs.select("doc_id", "rid", "text").where("text IS NOT NULL").mapInArrow(run, _UNITS)
@@ -190,9 +184,8 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> Data
             cut = Cut(batch["text"].to_pylist())
             shingles, found = cut.shingles(), []
             for d, wanted in enumerate(batch["wanted"].to_pylist()):
-                base = cut.first_clause[d]
                 for w in wanted:
-                    a, b = cut.clause_starts[base + w["first"]], cut.clause_ends[base + w["stop"] - 1]
+                    a, b = cut.first_word[d] + w["first"], cut.first_word[d] + w["stop"]
                     found.append((w["h"], np.unique(shingles[a : b - SHINGLE_WORDS + 1]).tobytes()))
             if found:
                 yield pa.record_batch([pa.array([h for h, _ in found]), pa.array([s for _, s in found])], names=["h", "shingles"])
@@ -262,63 +255,68 @@ def _not_first(occurrences: DataFrame, key: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans): clause ranges of docs (doc_id, rid, text) that repeat an earlier paragraph or clause."""
+    """(doc_id, rid, spans): word ranges of docs (doc_id, rid, text) that repeat an earlier paragraph (whole) or clause."""
     found = materialized(units(docs), "units")
     parts = parts_for(found.count())
     clauses = found.where("bands IS NULL").select("h", "doc_id", "rid", "first", "stop")
     paragraphs = found.where("bands IS NOT NULL")
     twice = materialized(clauses.groupBy("h").count().where("count > 1").select("h"), "repeated-clauses", parts)
     again = materialized(clauses.join(maybe_broadcast(twice, 16), "h"), "clause-places", parts)
-    flagged = _not_first(again, "h")
+    flagged = _not_first(again, "h").withColumn("whole", F.lit(False))
     clusters = connected_components(_paragraph_links(docs, paragraphs, parts), parts).withColumnRenamed("node", "h")
     copied = paragraphs.groupBy("h").count().where("count > 1").select("h")
     clusters = copied.join(clusters, "h", "full").select("h", F.coalesce("component", "h").alias("component"))
     clusters = materialized(clusters, "paragraph-clusters", parts)
     members = paragraphs.join(maybe_broadcast(clusters, 24), "h").select("component", "doc_id", "rid", "first", "stop")
-    flagged = flagged.union(_not_first(materialized(members, "paragraph-places", parts), "component"))
-    return flagged.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("spans"))
+    flagged = flagged.union(_not_first(materialized(members, "paragraph-places", parts), "component").withColumn("whole", F.lit(True)))
+    return flagged.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("first", "stop", "whole"))).alias("spans"))
 
 
-def removed_runs(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, words): character ranges to remove for the clause ranges that repeat, as whole runs of MIN_RUN_WORDS words or more."""
-    clauses: list[list] = []  # start of the first word, end of the last, words, begins a line, ends one
+def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
+    """(start, end, words): character ranges to remove for the word ranges that repeat: runs of MIN_RUN_WORDS words or more, and of shorter
+    runs the whole paragraphs."""
+    starts, ends, begins, closes, clause = [], [], [], [], []  # of each word: its place, whether it begins or ends a line, its clause
     opened, fresh = False, True
     for m in _TOKEN.finditer(text):
         token = m.group()
         if token == "\n":
-            if clauses:
-                clauses[-1][4] = True
+            if closes:
+                closes[-1] = True
             opened, fresh = False, True
             continue
-        if not opened:
-            clauses.append([m.start(), m.end(), 0, fresh, False])
-        clauses[-1][1] = m.end()
-        clauses[-1][2] += 1
+        clause.append(clause[-1] + (not opened) if clause else 0)
+        starts.append(m.start())
+        ends.append(m.end())
+        begins.append(fresh)
+        closes.append(False)
         opened, fresh = token[-1] not in ".!?,", False
-    if clauses:
-        clauses[-1][4] = True
-    repeated = np.zeros(len(clauses), bool)
-    for first, stop in spans:
-        repeated[first:stop] = True
-    short = np.array([c[2] < MIN_CLAUSE_WORDS for c in clauses], bool)
-    out, k = [], 0
-    while k < len(clauses):
-        if not repeated[k]:
-            k += 1
-            continue
-        end = k + 1  # one past the last repeated clause of the run
-        ahead = end
-        while ahead < len(clauses) and (repeated[ahead] or short[ahead]):
-            ahead += 1
-            if repeated[ahead - 1]:
-                end = ahead
-        words = sum(c[2] for c in clauses[k:end])
-        if words >= MIN_RUN_WORDS:
-            # Up to the next clause, but a line that keeps its beginning keeps its break.
-            stop = clauses[end - 1][1] if end == len(clauses) or (clauses[end - 1][4] and not clauses[k][3]) else clauses[end][0]
-            out.append((clauses[k][0], stop, words))
-        k = ahead
-    return out
+    if closes:
+        closes[-1] = True
+    n = len(starts)
+    repeated, whole = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
+    for first, stop, is_whole in spans:
+        repeated[first + 1 : stop + 1] = True
+        if is_whole:
+            whole[first + 1 : stop + 1] = True
+    sizes = np.bincount(clause) if clause else np.zeros(0, int)
+
+    def stretches(flags: np.ndarray) -> list[list[int]]:
+        return np.flatnonzero(flags[1:] != flags[:-1]).reshape(-1, 2).tolist()
+
+    def bridged(a: int, b: int) -> bool:
+        return bool((sizes[clause[a:b]] < MIN_CLAUSE_WORDS).all())
+
+    runs: list[list[int]] = []
+    for a, b in stretches(repeated):
+        if runs and bridged(runs[-1][1], a):
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    cuts, paragraphs = [], stretches(whole)
+    for a, b in runs:
+        cuts += [[a, b]] if b - a >= MIN_RUN_WORDS else [x for x in paragraphs if a <= x[0] < b]
+    # Up to the next word, but a line that keeps its beginning keeps its break.
+    return [(starts[a], ends[b - 1] if b == n or (closes[b - 1] and not begins[a]) else starts[b], b - a) for a, b in cuts]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -336,7 +334,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in rows(batches):
             texts, removed, words = [], [], []
             for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                runs = removed_runs(text, [(s["first"], s["stop"]) for s in spans]) if spans else []
+                runs = removed_runs(text, [(s["first"], s["stop"], s["whole"]) for s in spans]) if spans else []
                 if runs:
                     edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

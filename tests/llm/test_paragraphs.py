@@ -83,3 +83,14 @@ def test_exact_copies_of_short_clauses_go(prepared):
     rows = [(k, passage(400 + k, 40) + "\n" + line) for k in range(3)]
     found = {r.doc_id: r.text for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert line in found[0] and all(found[k].rstrip() == passage(400 + k, 40) for k in (1, 2))
+
+
+def test_short_paragraphs_go_whole(prepared):
+    """Exact copies of a 9-word line and near copies of a 24-word line go, though no run of MIN_RUN_WORDS words holds them."""
+    line = "Please share this notice with all of your friends"
+    words = [f"word{k}" for k in range(24)]
+    near = [*words[:23], "other"]
+    own = [passage(500 + k, 40) for k in range(4)]
+    rows = [(k, f"{line}\n{own[k]}\n{' '.join(near if k % 2 else words)}\nend {k}") for k in range(4)]
+    found = {r.doc_id: r.text for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: rows[0][1]} | {k: f"{own[k]}\nend {k}" for k in range(1, 4)}
