@@ -5,12 +5,14 @@ similarity of their five-word shingles; links at SIMILARITY or more form compone
 threshold shares a band with chance 1 - (1 - 0.8 ** 2) ** 5 = 0.994. Exact copies are one node of that graph. Of a component, or of the copies
 of a paragraph without links, the first (smallest doc_id, then place) stays, the others go whole, at any length.
 
-Passages inside longer paragraphs are found by the paragraphs' clauses (runs of words up to . ! ? , or the line's end): a clause that repeats, of
-MIN_CLAUSE_WORDS words or more, is kept where it comes first. A document loses runs of consecutive repeated clauses only where they add up to
-MIN_RUN_WORDS words; shorter clauses between them belong to the run. Words are compared lower-cased and without marks at their edges.
+Passages inside longer paragraphs are found by word windows, whatever their marks: of every WINDOW_SPAN neighbouring windows of WINDOW_WORDS
+words that of the least hash is kept, so any repeat of MIN_RUN_WORDS words or more shares a window with its first occurrence, and is
+extended from there word by word. Shorter pieces are found by clauses (runs of words up to . ! ? , or the line's end) of MIN_CLAUSE_WORDS
+words or more. What comes first is kept. A document loses runs of repeated words only where they add up to MIN_RUN_WORDS words; clauses of
+fewer than MIN_CLAUSE_WORDS words, and as few words within a line, between them belong to the run. Words are compared lower-cased and without marks at their edges.
 
-Shuffles carry hashes and places. Texts are read twice more: for those paragraphs that share a band with a different one, and for removals; the places
-are broadcast where counted small and joined otherwise.
+Shuffles carry hashes (also of the words around repeated windows) and places. Texts are read three times more: for paragraphs that share a band with a
+different one, for the words around windows, and for removals; what is joined to them is broadcast where counted small, otherwise the texts are shuffled.
 
 Defined cases: null text stays null and has no paragraph; rows that agree in doc_id and text count as one document, each row keeps its copy; rows of
 equal doc_id and different texts are different documents; null ids come first; a repeat within one document counts like any other; texts
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, maybe_broadcast, parts_for, rows, worker_state
+from orrery.llm.common import delete_tree, materialized, maybe_broadcast, parts_for, rows, worker_state
 from orrery.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -36,6 +38,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
 MIN_CLAUSE_WORDS = 4
 MIN_RUN_WORDS = 25
+#: Windows of so many words; the least hash of every WINDOW_SPAN neighbouring ones is kept, so that repeats of MIN_RUN_WORDS words share one.
+WINDOW_WORDS = 8
+WINDOW_SPAN = MIN_RUN_WORDS - WINDOW_WORDS + 1
+#: A repeated window is extended word by word, at most so far to either side: from the outermost windows that reaches the passage's ends.
+REACH_WORDS = WINDOW_SPAN - 1
 #: Members of a band are compared in blocks of so many; a task holds two blocks.
 BLOCK_MEMBERS = 2048
 
@@ -43,6 +50,7 @@ _TOKEN = re.compile(r"\S+|\n")
 _LINE_BREAK = 3
 _EDGE = ".,;:!?\"'()[]{}|*#%&$<>-"
 _ODD = np.random.default_rng(5).integers(0, 2**63, 2 * 16 + SHINGLE_WORDS, np.uint64) | np.uint64(1)
+_WINDOW_ODD = np.random.default_rng(6).integers(0, 2**63, WINDOW_WORDS, np.uint64) | np.uint64(1)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,6 +99,7 @@ class Cut:
         self.clause_ends = np.flatnonzero(clause_end) + 1
         self.clause_starts = np.concatenate([[0], self.clause_ends[:-1]]) if len(self.clause_ends) else self.clause_ends
         self.clause_doc = doc[self.clause_starts]
+        self.word_doc = doc
         self.first_word = np.searchsorted(doc, np.arange(len(texts) + 1))  # of each document, among all words
         self.line_ends = np.flatnonzero(line_end) + 1
         self.line_starts = np.concatenate([[0], self.line_ends[:-1]]) if len(self.line_ends) else self.line_ends
@@ -113,6 +122,23 @@ class Cut:
             out[: len(mixed) - k] += mixed[k:] * _ODD[k]
         return _mix(out)
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, hash) of the windows kept: those of the least hash among some WINDOW_SPAN neighbours of one document."""
+        n = len(self.word) - MIN_RUN_WORDS + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        mixed = _mix(self.word)
+        m = len(mixed) - WINDOW_WORDS + 1
+        hashes = np.zeros(m, np.uint64)
+        for k in range(WINDOW_WORDS):
+            hashes += mixed[k : k + m] * _WINDOW_ODD[k]
+        hashes = _mix(hashes)
+        least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW_SPAN).min(axis=1)
+        least[self.word_doc[:n] != self.word_doc[MIN_RUN_WORDS - 1 :]] = 0  # not within one document
+        padded = np.concatenate([np.zeros(WINDOW_SPAN - 1, np.uint64), least, np.zeros(WINDOW_SPAN - 1, np.uint64)])
+        kept = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, WINDOW_SPAN).max(axis=1) == hashes)
+        return self.word_doc[kept], kept, hashes[kept]
+
     def bands(self, lines: np.ndarray) -> np.ndarray:
         """(lines, BANDS) band hashes of the lines with these numbers, each of SHINGLE_WORDS words or more."""
         if not len(lines):
@@ -131,24 +157,27 @@ class Cut:
         return out
 
 
-_UNITS = "doc_id long, rid long, first int, stop int, h long, bands array<long>"
+_UNITS = "doc_id long, rid long, first int, stop int, h long, bands array<long>, window boolean"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Rows for paragraphs (bands set) and clauses (bands null): words first to stop - 1 of document (doc_id, rid)."""
+    """Rows for paragraphs (bands set), clauses and windows (bands null): words first to stop - 1 of document (doc_id, rid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 256):
             cut = Cut(batch["text"].to_pylist())
 
-            def out(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bands: pa.Array) -> pa.RecordBatch:
+            def out(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bands: pa.Array | None, window: bool = False) -> pa.RecordBatch:
                 of, base = pa.array(doc), cut.first_word[doc]
                 places = [pa.array((x - base).astype(np.int32)) for x in (starts, ends)]
-                return pa.record_batch([batch["doc_id"].take(of), batch["rid"].take(of), *places, pa.array(hashes.view(np.int64)), bands], names=names)
+                bands = pa.nulls(len(doc), pa.list_(pa.int64())) if bands is None else bands
+                return pa.record_batch([batch["doc_id"].take(of), batch["rid"].take(of), *places, pa.array(hashes.view(np.int64)), bands, pa.repeat(window, len(doc))], names=names)
 
             own = np.flatnonzero(cut.clause_ends - cut.clause_starts >= MIN_CLAUSE_WORDS)
             hashes = cut.sequence_hashes(cut.clause_starts, cut.clause_ends)
-            yield out(cut.clause_doc[own], cut.clause_starts[own], cut.clause_ends[own], hashes[own], pa.nulls(len(own), pa.list_(pa.int64())))
+            yield out(cut.clause_doc[own], cut.clause_starts[own], cut.clause_ends[own], hashes[own], None)
+            doc, first, hashes = cut.windows()
+            yield out(doc, first, first + WINDOW_WORDS, hashes, None, True)
             own = np.flatnonzero(cut.line_ends - cut.line_starts >= SHINGLE_WORDS)
             hashes = cut.sequence_hashes(cut.line_starts, cut.line_ends)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(cut.bands(own).ravel().view(np.int64)))
@@ -245,31 +274,93 @@ def _edges(held: list[tuple[int, int, np.ndarray]], key: tuple | None) -> Iterat
         yield pa.record_batch([pa.array(left), pa.array(right)], names=["a", "b"])
 
 
-def _not_first(occurrences: DataFrame, key: str) -> DataFrame:
-    """Occurrences (key, doc_id, rid, first, stop) without the first of each key. The join's key is the whole place, so that a key with very
-    many occurrences is dealt out evenly."""
+def _firsts(occurrences: DataFrame, key: str) -> DataFrame:
+    """(key, own_id, own_rid, own_first): the first occurrence of each key."""
     kept = occurrences.groupBy(key).agg(F.min(F.struct("doc_id", "rid", "first")).alias("kept"))
-    kept = kept.select(F.col(key).alias("_key"), F.col("kept.doc_id").alias("_id"), F.col("kept.rid").alias("_rid"), F.col("kept.first").alias("_first"))
-    same = (F.col(key) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")) & (F.col("first") == F.col("_first"))
-    return occurrences.join(kept, same, "left_anti").select("doc_id", "rid", "first", "stop")
+    return kept.select(key, F.col("kept.doc_id").alias("own_id"), F.col("kept.rid").alias("own_rid"), F.col("kept.first").alias("own_first"))
+
+
+def _not_first(occurrences: DataFrame, key: str, firsts: DataFrame) -> DataFrame:
+    """Occurrences (key, doc_id, rid, first, ...) without the first of each key. The join's key is the whole place, so that a key with very
+    many occurrences is dealt out evenly."""
+    kept = firsts.withColumnRenamed(key, "_key")
+    same = (F.col(key) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid")) & (F.col("first") == F.col("own_first"))
+    return occurrences.join(kept, same, "left_anti")
+
+
+def _contexts(docs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
+    """(h, own_id, own_rid, own_first, before, after): the first occurrences of windows with the words around them, as 32-bit hashes."""
+    wanted = firsts.groupBy("own_id", "own_rid").agg(F.collect_list(F.struct("h", "own_first")).alias("wanted"))
+    wanted = materialized(wanted, "context-places", parts)
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
+    texts = docs.join(maybe_broadcast(wanted, 400), same).select("own_id", "own_rid", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 64):
+            cut = Cut(batch["text"].to_pylist())
+            words, lists = cut.word.astype(np.uint32), batch["wanted"]
+            h, first = lists.flatten().field("h"), lists.flatten().field("own_first")
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            low, high = cut.first_word[of], cut.first_word[of + 1]
+            at = low + first.to_numpy()
+            before = [words[max(a, p - REACH_WORDS) : p].tobytes() for a, p in zip(low.tolist(), at.tolist(), strict=True)]
+            after = [words[p : min(b, p + REACH_WORDS)].tobytes() for b, p in zip(high.tolist(), (at + WINDOW_WORDS).tolist(), strict=True)]
+            yield pa.record_batch([h, batch["own_id"].take(pa.array(of)), batch["own_rid"].take(pa.array(of)), first, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=names)
+
+    fields = "h long, own_id long, own_rid long, own_first int, before binary, after binary"
+    names = [x.split()[0] for x in fields.split(", ")]
+    # Rows alike in id and text each give the words: one of them is enough.
+    found = texts.mapInArrow(run, fields)
+    return found.groupBy("h").agg(*(F.first(n).alias(n) for n in names[1:]))
+
+
+def extended(words: np.ndarray, first: int, own_first: int | None, before: bytes, after: bytes) -> tuple[int, int]:
+    """The word range of a repeated window with the words around it that agree with those at its first occurrence; own_first is that
+    occurrence's place if it is in the same document, whose words stay."""
+    left, right = np.frombuffer(before, np.uint32), np.frombuffer(after, np.uint32)
+    start, stop = first, first + WINDOW_WORDS
+    n = min(len(left), start)
+    unlike = np.flatnonzero(left[len(left) - n :] != words[start - n : start])
+    start -= n - 1 - int(unlike[-1]) if len(unlike) else n
+    n = min(len(right), len(words) - stop)
+    unlike = np.flatnonzero(right[:n] != words[stop : stop + n])
+    stop += int(unlike[0]) if len(unlike) else n
+    return (start if own_first is None else max(start, own_first + WINDOW_WORDS)), stop
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans): word ranges of docs (doc_id, rid, text) that repeat an earlier paragraph (whole) or clause."""
+    """(doc_id, rid, spans, marks): word ranges of docs (doc_id, rid, text) that repeat an earlier paragraph (whole) or clause, and windows
+    that repeat an earlier one, with the words around that."""
     found = materialized(units(docs), "units")
     parts = parts_for(found.count())
-    clauses = found.where("bands IS NULL").select("h", "doc_id", "rid", "first", "stop")
+    passages = found.where("bands IS NULL").select("h", "doc_id", "rid", "first", "stop", "window")
     paragraphs = found.where("bands IS NOT NULL")
-    twice = materialized(clauses.groupBy("h").count().where("count > 1").select("h"), "repeated-clauses", parts)
-    again = materialized(clauses.join(maybe_broadcast(twice, 16), "h"), "clause-places", parts)
-    flagged = _not_first(again, "h").withColumn("whole", F.lit(False))
+
+    def again(of: DataFrame, name: str) -> DataFrame:
+        twice = materialized(of.groupBy("h").count().where("count > 1").select("h"), f"repeated-{name}", parts)
+        return materialized(of.join(maybe_broadcast(twice, 16), "h"), f"{name}-places", parts)
+
+    clauses = again(passages.where("NOT window").select("h", "doc_id", "rid", "first", "stop"), "clauses")
+    windows = again(passages.where("window").select("h", "doc_id", "rid", "first"), "windows")
+    flagged = _not_first(clauses, "h", _firsts(clauses, "h")).select("doc_id", "rid", "first", "stop", F.lit(False).alias("whole"))
+    firsts = materialized(_firsts(windows, "h"), "first-windows", parts)
+    later = _not_first(windows, "h", firsts).select("h", "doc_id", "rid", "first").distinct()
+    later = materialized(later, "later-windows", parts)
+    contexts = materialized(_contexts(docs, firsts, parts), "window-contexts", parts)
+    here = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
+    mark = F.struct("first", F.when(here, F.col("own_first")).alias("own_first"), "before", "after").alias("mark")
+    marks = later.join(maybe_broadcast(contexts, 240), "h").select("doc_id", "rid", mark)
     clusters = connected_components(_paragraph_links(docs, paragraphs, parts), parts).withColumnRenamed("node", "h")
     copied = paragraphs.groupBy("h").count().where("count > 1").select("h")
     clusters = copied.join(clusters, "h", "full").select("h", F.coalesce("component", "h").alias("component"))
     clusters = materialized(clusters, "paragraph-clusters", parts)
     members = paragraphs.join(maybe_broadcast(clusters, 24), "h").select("component", "doc_id", "rid", "first", "stop")
-    flagged = flagged.union(_not_first(materialized(members, "paragraph-places", parts), "component").withColumn("whole", F.lit(True)))
-    return flagged.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("first", "stop", "whole"))).alias("spans"))
+    members = materialized(members, "paragraph-places", parts)
+    delete_tree(docs.sparkSession, found.inputFiles()[0].rpartition("/")[0])  # all that is left comes from the tables made of it
+    flagged = flagged.union(_not_first(members, "component", _firsts(members, "component")).select("doc_id", "rid", "first", "stop", F.lit(True).alias("whole")))
+    span = F.struct("first", "stop", "whole").alias("span")
+    both = flagged.select("doc_id", "rid", span).unionByName(marks, allowMissingColumns=True)
+    return both.groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks"))
 
 
 def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
@@ -304,7 +395,7 @@ def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[in
         return np.flatnonzero(flags[1:] != flags[:-1]).reshape(-1, 2).tolist()
 
     def bridged(a: int, b: int) -> bool:
-        return bool((sizes[clause[a:b]] < MIN_CLAUSE_WORDS).all())
+        return b - a < MIN_CLAUSE_WORDS and not any(begins[a : b + 1]) or bool((sizes[clause[a:b]] < MIN_CLAUSE_WORDS).all())
 
     runs: list[list[int]] = []
     for a, b in stretches(repeated):
@@ -314,27 +405,44 @@ def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[in
             runs.append([a, b])
     cuts, paragraphs = [], stretches(whole)
     for a, b in runs:
-        cuts += [[a, b]] if b - a >= MIN_RUN_WORDS else [x for x in paragraphs if a <= x[0] < b]
+        if b - a < MIN_RUN_WORDS:
+            cuts += [x for x in paragraphs if a <= x[0] < b]
+            continue
+        # A run across lines leaves a first or last line of which it has fewer than MIN_CLAUSE_WORDS words, and not the whole.
+        for k in range(1, MIN_CLAUSE_WORDS):
+            if not closes[b - 1] and begins[b - k]:
+                b -= k
+                break
+        for k in range(1, MIN_CLAUSE_WORDS):
+            if not begins[a] and closes[a + k - 1]:
+                a += k
+                break
+        cuts.append([a, b])
     # Up to the next word, but a line that keeps its beginning keeps its break.
     return [(starts[a], ends[b - 1] if b == n or (closes[b - 1] and not begins[a]) else starts[b], b - a) for a, b in cuts]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) with repeated passages cut out of text, and columns removed (array of start, end in the old
-    text's code points) and removed_words appended; columns of those names, or named rid and spans, are replaced."""
-    kept = docs.drop("removed", "removed_words", "rid", "spans")
+    text's code points) and removed_words appended; columns of those names, or named rid, spans and marks, are replaced."""
+    kept = docs.drop("removed", "removed_words", "rid", "spans", "marks")
     keyed = kept.withColumn("rid", F.xxhash64(F.col("text")))
     places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "text")
     found = materialized(repeats(places), "repeats").withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
-    joined = keyed.join(maybe_broadcast(found, 160), same, "left").drop("own_id", "own_rid", "rid")
+    marked = found.agg(F.sum(F.size("marks"))).first()[0] or 0
+    joined = keyed.join(maybe_broadcast(found, 160 + 240 * marked // max(found.count(), 1)), same, "left").drop("own_id", "own_rid", "rid")
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             texts, removed, words = [], [], []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                runs = removed_runs(text, [(s["first"], s["stop"], s["whole"]) for s in spans]) if spans else []
+            for text, spans, marks in zip(batch["text"].to_pylist(), batch["spans"], batch["marks"], strict=True):
+                ranges = [(s["first"], s["stop"], s["whole"]) for s in spans.as_py() or []]
+                if marks.is_valid and len(marks):
+                    own = Cut([text]).word.astype(np.uint32)
+                    ranges += [(*extended(own, m["first"], m["own_first"], m["before"], m["after"]), False) for m in marks.as_py()]
+                runs = removed_runs(text, ranges) if ranges else []
                 if runs:
                     edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

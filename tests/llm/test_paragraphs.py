@@ -94,3 +94,23 @@ def test_short_paragraphs_go_whole(prepared):
     rows = [(k, f"{line}\n{own[k]}\n{' '.join(near if k % 2 else words)}\nend {k}") for k in range(4)]
     found = {r.doc_id: r.text for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {0: rows[0][1]} | {k: f"{own[k]}\nend {k}" for k in range(1, 4)}
+
+
+def test_passages_without_marks_go(prepared):
+    """A passage of 53 words without a clause end, inside longer lines, goes exactly; so does one of which a word is changed, in two runs."""
+    shared = [f"shared{k}" for k in range(53)]
+    changed = [*shared[:26], "changed", *shared[27:]]
+    rows = [(k, " ".join([*(f"a{k}x{n}" for n in range(200)), *(changed if k == 2 else shared), *(f"b{k}x{n}" for n in range(200))])) for k in range(3)]
+    found = {r.doc_id: r for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0].text == rows[0][1]
+    for k in (1, 2):
+        assert found[k].removed_words == 53 and found[k].text.split() == [f"{c}{k}x{n}" for c in "ab" for n in range(200)]
+
+
+def test_windows_find_every_long_repeat():
+    draw = np.random.default_rng(2)
+    for k in range(200):
+        same = [f"s{x}" for x in draw.integers(0, 10**6, P.MIN_RUN_WORDS)]
+        texts = [" ".join([*(f"{d}w{x}" for x in draw.integers(0, 10**6, int(draw.integers(40)))), *same, *(f"{d}v{x}" for x in draw.integers(0, 10**6, int(draw.integers(40))))]) for d in "ab"]
+        doc, _, h = P.Cut(texts).windows()
+        assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
