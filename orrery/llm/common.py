@@ -101,9 +101,11 @@ def materialized(df: DataFrame, name: str, parts: int | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def maybe_broadcast(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    """Mark a materialized table for broadcast if its row count times bytes_a_row is under the limit; otherwise leave the join to Spark (sort-merge, split where skewed)."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_LIMIT_BYTES else df
+def maybe_broadcast(df: DataFrame, bytes_a_row: int | Column) -> DataFrame:
+    """Mark a materialized table for broadcast if its size, counted from its rows, is under the limit; otherwise leave the join to Spark
+    (sort-merge, split where skewed). Rows that hold arrays are priced by a column of their sizes."""
+    size = df.agg(F.sum(bytes_a_row)).first()[0] or 0 if isinstance(bytes_a_row, Column) else df.count() * bytes_a_row
+    return F.broadcast(df) if size <= BROADCAST_LIMIT_BYTES else df
 
 
 def id_bucket(column: str, modulus: int) -> Column:

@@ -5,14 +5,17 @@ similarity of their five-word shingles; links at SIMILARITY or more form compone
 threshold shares a band with chance 1 - (1 - 0.8 ** 2) ** 5 = 0.994. Exact copies are one node of that graph. Of a component, or of the copies
 of a paragraph without links, the first (smallest doc_id, then place) stays, the others go whole, at any length.
 
-Passages inside longer paragraphs are found by word windows, whatever their marks: of every WINDOW_SPAN neighbouring windows of WINDOW_WORDS
-words that of the least hash is kept, so any repeat of MIN_RUN_WORDS words or more shares a window with its first occurrence, and is
-extended from there word by word. Shorter pieces are found by clauses (runs of words up to . ! ? , or the line's end) of MIN_CLAUSE_WORDS
-words or more. What comes first is kept. A document loses runs of repeated words only where they add up to MIN_RUN_WORDS words; clauses of
-fewer than MIN_CLAUSE_WORDS words, and as few words within a line, between them belong to the run. Words are compared lower-cased and without marks at their edges.
+What is left may still repeat passages inside longer paragraphs. It is cut into all its overlapping blocks of MIN_RUN_WORDS words, and a block is
+signed by one MinHash value over its windows of WINDOW_WORDS words (neighbouring blocks mostly have the same, which is kept once). So any repeat of
+MIN_RUN_WORDS words or more collides with the first occurrence of a window of it, whatever its marks. Each collision is verified word by
+word, from the window to either side: an unlike word is passed over only if four like ones make up for it, so that a changed word does not end a
+passage, and of every extension 0.8 or more is alike. What comes first is kept. A document loses runs of repeated words where they add up to
+MIN_RUN_WORDS words; fewer than MIN_GAP_WORDS words between them, within a line or whole lines, belong to the run.
+Words are compared lower-cased and without marks at their edges.
 
 Shuffles carry hashes (also of the words around repeated windows) and places. Texts are read three times more: for paragraphs that share a band with a
-different one, for the words around windows, and for removals; what is joined to them is broadcast where counted small, otherwise the texts are shuffled.
+different one, for the words around windows, and for removals; what is joined to them is broadcast where its counted size is small, otherwise the
+texts are shuffled.
 
 Defined cases: null text stays null and has no paragraph; rows that agree in doc_id and text count as one document, each row keeps its copy; rows of
 equal doc_id and different texts are different documents; null ids come first; a repeat within one document counts like any other; texts
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import delete_tree, materialized, maybe_broadcast, parts_for, rows, worker_state
@@ -36,15 +39,16 @@ from orrery.llm.components import connected_components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
-MIN_CLAUSE_WORDS = 4
 MIN_RUN_WORDS = 25
-#: Windows of so many words; the least hash of every WINDOW_SPAN neighbouring ones is kept, so that repeats of MIN_RUN_WORDS words share one.
+MIN_GAP_WORDS = 4
+#: Windows of so many words; a block of MIN_RUN_WORDS words has WINDOW_SPAN of them.
 WINDOW_WORDS = 8
 WINDOW_SPAN = MIN_RUN_WORDS - WINDOW_WORDS + 1
-#: A repeated window is extended word by word, at most so far to either side: from the outermost windows that reaches the passage's ends.
-REACH_WORDS = WINDOW_SPAN - 1
+#: A repeated window is extended word by word, at most so far to either side: from the outermost windows that reaches the passage's ends, also
+#: where a changed word leaves fewer than MIN_RUN_WORDS words beyond it.
+REACH_WORDS = WINDOW_SPAN + MIN_RUN_WORDS - 3
 #: Members of a band are compared in blocks of so many; a task holds two blocks.
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 512
 
 _TOKEN = re.compile(r"\S+|\n")
 _LINE_BREAK = 3
@@ -55,14 +59,13 @@ _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """token -> hash of its compared form, shifted left; the low bit tells whether a clause ends after it."""
+    """token -> hash of its compared form; a line break has _LINE_BREAK."""
 
     limit = 200_000
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_EDGE).lower() or token
-        found = (xxhash.xxh64_intdigest(core.encode("utf-8"), 5) >> 3) << 1 | (token[-1] in ".!?,")
-        found = _LINE_BREAK if token == "\n" else found | 1 << 62
+        found = _LINE_BREAK if token == "\n" else xxhash.xxh64_intdigest(core.encode("utf-8"), 5) | 1 << 62
         if len(self) < self.limit:
             self[token] = found
         return found
@@ -74,8 +77,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sliding(f: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """The least (or largest) of every span neighbours, in about log2(span) steps."""
+    width = 1
+    while 2 * width <= span:
+        x = f(x[:-width], x[width:])
+        width *= 2
+    return f(x[: width - span], x[span - width :]) if width < span else x
+
+
 class Cut:
-    """The clauses and paragraphs of a batch of texts, as arrays over all of them."""
+    """The words and lines of a batch of texts, as arrays over all of them."""
 
     def __init__(self, texts: list[str | None]):
         words = worker_state("paragraph words", _Words)
@@ -90,20 +102,13 @@ class Cut:
             packed[at + n - 1] = _LINE_BREAK
             at += n
         breaks = packed == _LINE_BREAK
-        doc_of_token = np.repeat(np.arange(len(texts)), sizes)
         word_at = np.flatnonzero(~breaks)
-        self.word = packed[word_at] >> np.uint64(1)
-        doc = doc_of_token[word_at]
-        line_end = breaks[word_at + 1]
-        clause_end = line_end | (packed[word_at] & np.uint64(1)).astype(bool)
-        self.clause_ends = np.flatnonzero(clause_end) + 1
-        self.clause_starts = np.concatenate([[0], self.clause_ends[:-1]]) if len(self.clause_ends) else self.clause_ends
-        self.clause_doc = doc[self.clause_starts]
-        self.word_doc = doc
-        self.first_word = np.searchsorted(doc, np.arange(len(texts) + 1))  # of each document, among all words
-        self.line_ends = np.flatnonzero(line_end) + 1
+        self.word = packed[word_at]
+        self.word_doc = np.repeat(np.arange(len(texts)), sizes)[word_at]
+        self.first_word = np.searchsorted(self.word_doc, np.arange(len(texts) + 1))  # of each document, among all words
+        self.line_ends = np.flatnonzero(breaks[word_at + 1]) + 1
         self.line_starts = np.concatenate([[0], self.line_ends[:-1]]) if len(self.line_ends) else self.line_ends
-        self.line_doc = doc[self.line_starts]
+        self.line_doc = self.word_doc[self.line_starts]
 
     def sequence_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Order-sensitive hashes of word runs that cover all words."""
@@ -122,22 +127,22 @@ class Cut:
             out[: len(mixed) - k] += mixed[k:] * _ODD[k]
         return _mix(out)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first word, hash) of the windows kept: those of the least hash among some WINDOW_SPAN neighbours of one document."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows that sign some block of MIN_RUN_WORDS words: those of the least hash in it."""
         n = len(self.word) - MIN_RUN_WORDS + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
         mixed = _mix(self.word)
         m = len(mixed) - WINDOW_WORDS + 1
         hashes = np.zeros(m, np.uint64)
         for k in range(WINDOW_WORDS):
             hashes += mixed[k : k + m] * _WINDOW_ODD[k]
         hashes = _mix(hashes)
-        least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW_SPAN).min(axis=1)
+        least = _sliding(np.minimum, hashes, WINDOW_SPAN)
         least[self.word_doc[:n] != self.word_doc[MIN_RUN_WORDS - 1 :]] = 0  # not within one document
-        padded = np.concatenate([np.zeros(WINDOW_SPAN - 1, np.uint64), least, np.zeros(WINDOW_SPAN - 1, np.uint64)])
-        kept = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, WINDOW_SPAN).max(axis=1) == hashes)
-        return self.word_doc[kept], kept, hashes[kept]
+        edge = np.zeros(WINDOW_SPAN - 1, np.uint64)
+        kept = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), WINDOW_SPAN) == hashes)
+        return kept, hashes[kept]
 
     def bands(self, lines: np.ndarray) -> np.ndarray:
         """(lines, BANDS) band hashes of the lines with these numbers, each of SHINGLE_WORDS words or more."""
@@ -157,34 +162,33 @@ class Cut:
         return out
 
 
-_UNITS = "doc_id long, rid long, first int, stop int, h long, bands array<long>, window boolean"
+_LINES = "doc_id long, rid long, first int, stop int, h long, bands array<long>, at array<int>, seeds array<long>"
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """Rows for paragraphs (bands set), clauses and windows (bands null): words first to stop - 1 of document (doc_id, rid)."""
+def lines(docs: DataFrame) -> DataFrame:
+    """A row a line: words first to stop - 1 of document (doc_id, rid); its hash and bands (null for lines under SHINGLE_WORDS words); the
+    windows kept that start in it, as places and hashes. Short lines without a window have no row."""
+
+    def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 256):
             cut = Cut(batch["text"].to_pylist())
-
-            def out(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bands: pa.Array | None, window: bool = False) -> pa.RecordBatch:
-                of, base = pa.array(doc), cut.first_word[doc]
-                places = [pa.array((x - base).astype(np.int32)) for x in (starts, ends)]
-                bands = pa.nulls(len(doc), pa.list_(pa.int64())) if bands is None else bands
-                return pa.record_batch([batch["doc_id"].take(of), batch["rid"].take(of), *places, pa.array(hashes.view(np.int64)), bands, pa.repeat(window, len(doc))], names=names)
-
-            own = np.flatnonzero(cut.clause_ends - cut.clause_starts >= MIN_CLAUSE_WORDS)
-            hashes = cut.sequence_hashes(cut.clause_starts, cut.clause_ends)
-            yield out(cut.clause_doc[own], cut.clause_starts[own], cut.clause_ends[own], hashes[own], None)
-            doc, first, hashes = cut.windows()
-            yield out(doc, first, first + WINDOW_WORDS, hashes, None, True)
-            own = np.flatnonzero(cut.line_ends - cut.line_starts >= SHINGLE_WORDS)
-            hashes = cut.sequence_hashes(cut.line_starts, cut.line_ends)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(cut.bands(own).ravel().view(np.int64)))
-            yield out(cut.line_doc[own], cut.line_starts[own], cut.line_ends[own], hashes[own], bands)
-
-    names = [x.split()[0] for x in _UNITS.split(", ")]
-    return docs.select("doc_id", "rid", "text").where("text IS NOT NULL").mapInArrow(run, _UNITS)
+            at, seeds = cut.windows()
+            counts = np.bincount(np.searchsorted(cut.line_starts, at, "right") - 1, minlength=len(cut.line_starts)) if len(at) else np.zeros(len(cut.line_starts), np.int64)
+            long = cut.line_ends - cut.line_starts >= SHINGLE_WORDS
+            own = np.flatnonzero(long | (counts > 0))
+            base, of = cut.first_word[cut.line_doc[own]], pa.array(cut.line_doc[own])
+            hashes = pa.array(cut.sequence_hashes(cut.line_starts, cut.line_ends)[own].view(np.int64), mask=~long[own])
+            bands = cut.bands(np.flatnonzero(long)).ravel().view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long[own] * BANDS)]).astype(np.int32), mask=np.append(~long[own], False)), pa.array(bands))
+            places = [pa.array((x[own] - base).astype(np.int32)) for x in (cut.line_starts, cut.line_ends)]
+            windows = [lists((at - cut.first_word[cut.word_doc[at]]).astype(np.int32), counts[own]), lists(seeds.view(np.int64), counts[own])]
+            yield pa.record_batch([batch["doc_id"].take(of), batch["rid"].take(of), *places, hashes, bands, *windows], names=names)
+
+    names = [x.split()[0] for x in _LINES.split(", ")]
+    return docs.select("doc_id", "rid", "text").where("text IS NOT NULL").mapInArrow(run, _LINES)
 
 
 def band_members(banded: DataFrame, parts: int) -> DataFrame:
@@ -194,19 +198,16 @@ def band_members(banded: DataFrame, parts: int) -> DataFrame:
     return materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
 
 
-def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> DataFrame:
-    """(a, b): hashes of different paragraphs with similarity SIMILARITY or more that share a band."""
+def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
+    """(a, b): hashes of different paragraphs with similarity SIMILARITY or more that share a band. firsts: a place of each hash."""
     members = band_members(paragraphs.select("h", F.explode("bands").alias("band")), parts)
     wanted = materialized(members.select("h").distinct(), "compared", parts)
     if wanted.isEmpty():
         return members.select(F.col("h").alias("a"), F.col("band").alias("b"))
-    place = F.min(F.struct("doc_id", "rid", "first", "stop")).alias("p")
-    places = paragraphs.join(maybe_broadcast(wanted, 16), "h").groupBy("h").agg(place).select("h", "p.*")
-    places = places.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "first", "stop")).alias("wanted"))
+    places = firsts.join(maybe_broadcast(wanted, 16), "h").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "first", "stop")).alias("wanted"))
     places = materialized(places.withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid"), "compared-places", parts)
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
     # Rows alike in id and text would each give the paragraph: one of them is enough.
-    texts = docs.join(maybe_broadcast(places, 96), same).select("text", "wanted")
+    texts = docs.join(maybe_broadcast(places, 40 + 24 * F.size("wanted")), _here()).select("text", "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
@@ -225,9 +226,12 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, parts: int) -> Data
 
 def verified_links(members: DataFrame, shingled: DataFrame) -> DataFrame:
     """(a, b): links among the members (h, band) of each band, by the exact similarity of their sets (h, shingles as sorted uint64)."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    # Only bands of more than one block are looked up, so a hot band is not gathered in one task by this join.
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = materialized(sizes, "large-bands", 1)
+    dealt = members.join(maybe_broadcast(sizes, 16), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "band").select("h", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("h", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("h", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,31 +278,37 @@ def _edges(held: list[tuple[int, int, np.ndarray]], key: tuple | None) -> Iterat
         yield pa.record_batch([pa.array(left), pa.array(right)], names=["a", "b"])
 
 
+def _here() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
+
+
 def _firsts(occurrences: DataFrame, key: str) -> DataFrame:
     """(key, own_id, own_rid, own_first): the first occurrence of each key."""
     kept = occurrences.groupBy(key).agg(F.min(F.struct("doc_id", "rid", "first")).alias("kept"))
     return kept.select(key, F.col("kept.doc_id").alias("own_id"), F.col("kept.rid").alias("own_rid"), F.col("kept.first").alias("own_first"))
 
 
-def _not_first(occurrences: DataFrame, key: str, firsts: DataFrame) -> DataFrame:
-    """Occurrences (key, doc_id, rid, first, ...) without the first of each key. The join's key is the whole place, so that a key with very
-    many occurrences is dealt out evenly."""
-    kept = firsts.withColumnRenamed(key, "_key")
-    same = (F.col(key) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid")) & (F.col("first") == F.col("own_first"))
-    return occurrences.join(kept, same, "left_anti")
+def _repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame, parts: int) -> DataFrame:
+    """(h, own_id, own_rid, own_first): the hashes of paragraphs that have copies or near copies, with the first place of their component."""
+    place = F.min(F.struct("doc_id", "rid", "first", "stop")).alias("place")
+    firsts = materialized(paragraphs.groupBy("h").agg(place, F.count("*").alias("n")).select("h", "place.*", "n"), "paragraph-firsts", parts)
+    linked = materialized(connected_components(_paragraph_links(docs, paragraphs, firsts, parts), parts).withColumnRenamed("node", "h"), "paragraph-links", parts)
+    found = firsts.join(maybe_broadcast(linked, 24), "h", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "h"))
+    found = materialized(found, "paragraph-clusters", parts)
+    kept = materialized(_firsts(found, "component"), "paragraph-kept", parts)
+    return materialized(found.select("h", "component").join(maybe_broadcast(kept, 40), "component").drop("component"), "repeated-paragraphs", parts)
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
-    """(h, own_id, own_rid, own_first, before, after): the first occurrences of windows with the words around them, as 32-bit hashes."""
+    """(h, own_id, own_rid, own_first, before, after): the first occurrences of windows with the words around them, as 16-bit hashes."""
     wanted = firsts.groupBy("own_id", "own_rid").agg(F.collect_list(F.struct("h", "own_first")).alias("wanted"))
     wanted = materialized(wanted, "context-places", parts)
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
-    texts = docs.join(maybe_broadcast(wanted, 400), same).select("own_id", "own_rid", "text", "wanted")
+    texts = docs.join(maybe_broadcast(wanted, 40 + 16 * F.size("wanted")), _here()).select("own_id", "own_rid", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
             cut = Cut(batch["text"].to_pylist())
-            words, lists = cut.word.astype(np.uint32), batch["wanted"]
+            words, lists = cut.word.astype(np.uint16), batch["wanted"]
             h, first = lists.flatten().field("h"), lists.flatten().field("own_first")
             of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             low, high = cut.first_word[of], cut.first_word[of + 1]
@@ -314,88 +324,70 @@ def _contexts(docs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
     return found.groupBy("h").agg(*(F.first(n).alias(n) for n in names[1:]))
 
 
+def _reach(like: np.ndarray) -> int:
+    """How many of the words next to a window, from it outwards, belong to the passage: an unlike word counts -4, a like one 1."""
+    score = np.cumsum(np.where(like, 1, -4))
+    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+
+
 def extended(words: np.ndarray, first: int, own_first: int | None, before: bytes, after: bytes) -> tuple[int, int]:
     """The word range of a repeated window with the words around it that agree with those at its first occurrence; own_first is that
     occurrence's place if it is in the same document, whose words stay."""
-    left, right = np.frombuffer(before, np.uint32), np.frombuffer(after, np.uint32)
-    start, stop = first, first + WINDOW_WORDS
-    n = min(len(left), start)
-    unlike = np.flatnonzero(left[len(left) - n :] != words[start - n : start])
-    start -= n - 1 - int(unlike[-1]) if len(unlike) else n
-    n = min(len(right), len(words) - stop)
-    unlike = np.flatnonzero(right[:n] != words[stop : stop + n])
-    stop += int(unlike[0]) if len(unlike) else n
+    left, right = np.frombuffer(before, np.uint16), np.frombuffer(after, np.uint16)
+    stop = first + WINDOW_WORDS
+    n, m = min(len(left), first), min(len(right), len(words) - stop)
+    start = first - _reach((left[len(left) - n :] == words[first - n : first])[::-1])
+    stop += _reach(right[:m] == words[stop : stop + m])
     return (start if own_first is None else max(start, own_first + WINDOW_WORDS)), stop
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans, marks): word ranges of docs (doc_id, rid, text) that repeat an earlier paragraph (whole) or clause, and windows
-    that repeat an earlier one, with the words around that."""
-    found = materialized(units(docs), "units")
+    """(doc_id, rid, spans, marks): word ranges of docs (doc_id, rid, text) that repeat an earlier paragraph, and windows of the other
+    paragraphs that repeat an earlier one, with the words around that."""
+    found = materialized(lines(docs), "lines")
     parts = parts_for(found.count())
-    passages = found.where("bands IS NULL").select("h", "doc_id", "rid", "first", "stop", "window")
-    paragraphs = found.where("bands IS NOT NULL")
-
-    def again(of: DataFrame, name: str) -> DataFrame:
-        twice = materialized(of.groupBy("h").count().where("count > 1").select("h"), f"repeated-{name}", parts)
-        return materialized(of.join(maybe_broadcast(twice, 16), "h"), f"{name}-places", parts)
-
-    clauses = again(passages.where("NOT window").select("h", "doc_id", "rid", "first", "stop"), "clauses")
-    windows = again(passages.where("window").select("h", "doc_id", "rid", "first"), "windows")
-    flagged = _not_first(clauses, "h", _firsts(clauses, "h")).select("doc_id", "rid", "first", "stop", F.lit(False).alias("whole"))
+    paragraphs = found.where("h IS NOT NULL")
+    known = _repeated_paragraphs(docs, paragraphs, parts)
+    side, same = maybe_broadcast(known, 40), _here() & (F.col("first") == F.col("own_first"))
+    gone = materialized(paragraphs.drop("bands", "at", "seeds").join(side, "h").where(~same).select("doc_id", "rid", "first", "stop"), "gone-paragraphs", parts)
+
+    kept = paragraphs.where("size(at) > 0").join(side, "h", "left").where(F.col("own_first").isNull() | same).select("doc_id", "rid", "at", "seeds")
+    kept = kept.union(found.where("h IS NULL").select("doc_id", "rid", "at", "seeds"))
+    windows = kept.select("doc_id", "rid", F.explode(F.arrays_zip("at", "seeds")).alias("w")).select(F.col("w.seeds").alias("h"), "doc_id", "rid", F.col("w.at").alias("first"))
+    twice = materialized(windows.groupBy("h").count().where("count > 1").select("h"), "repeated-windows", parts)
+    windows = materialized(windows.join(maybe_broadcast(twice, 16), "h"), "window-places", parts)
+    delete_tree(docs.sparkSession, found.inputFiles()[0].rpartition("/")[0])  # all that is left comes from the tables made of it
     firsts = materialized(_firsts(windows, "h"), "first-windows", parts)
-    later = _not_first(windows, "h", firsts).select("h", "doc_id", "rid", "first").distinct()
-    later = materialized(later, "later-windows", parts)
     contexts = materialized(_contexts(docs, firsts, parts), "window-contexts", parts)
-    here = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
-    mark = F.struct("first", F.when(here, F.col("own_first")).alias("own_first"), "before", "after").alias("mark")
-    marks = later.join(maybe_broadcast(contexts, 240), "h").select("doc_id", "rid", mark)
-    clusters = connected_components(_paragraph_links(docs, paragraphs, parts), parts).withColumnRenamed("node", "h")
-    copied = paragraphs.groupBy("h").count().where("count > 1").select("h")
-    clusters = copied.join(clusters, "h", "full").select("h", F.coalesce("component", "h").alias("component"))
-    clusters = materialized(clusters, "paragraph-clusters", parts)
-    members = paragraphs.join(maybe_broadcast(clusters, 24), "h").select("component", "doc_id", "rid", "first", "stop")
-    members = materialized(members, "paragraph-places", parts)
-    delete_tree(docs.sparkSession, found.inputFiles()[0].rpartition("/")[0])  # all that is left comes from the tables made of it
-    flagged = flagged.union(_not_first(members, "component", _firsts(members, "component")).select("doc_id", "rid", "first", "stop", F.lit(True).alias("whole")))
-    span = F.struct("first", "stop", "whole").alias("span")
-    both = flagged.select("doc_id", "rid", span).unionByName(marks, allowMissingColumns=True)
+    mark = F.struct("first", F.when(_here(), F.col("own_first")).alias("own_first"), "before", "after").alias("mark")
+    marks = windows.join(maybe_broadcast(contexts, 240), "h").where(~same).select("doc_id", "rid", mark)
+
+    span = F.struct("first", "stop").alias("span")
+    both = gone.select("doc_id", "rid", span).unionByName(marks, allowMissingColumns=True)
     return both.groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks"))
 
 
-def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
+def removed_runs(text: str, paragraphs: list[tuple[int, int]], passages: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, words): character ranges to remove for the word ranges that repeat: runs of MIN_RUN_WORDS words or more, and of shorter
     runs the whole paragraphs."""
-    starts, ends, begins, closes, clause = [], [], [], [], []  # of each word: its place, whether it begins or ends a line, its clause
-    opened, fresh = False, True
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if token == "\n":
-            if closes:
-                closes[-1] = True
-            opened, fresh = False, True
-            continue
-        clause.append(clause[-1] + (not opened) if clause else 0)
-        starts.append(m.start())
-        ends.append(m.end())
-        begins.append(fresh)
-        closes.append(False)
-        opened, fresh = token[-1] not in ".!?,", False
-    if closes:
-        closes[-1] = True
-    n = len(starts)
+    tokens = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+    breaks = np.fromiter((text[a] == "\n" for a in tokens[:, 0].tolist()), bool, len(tokens))
+    (starts, ends), line = tokens[~breaks].T.tolist(), np.cumsum(breaks)[~breaks]
+    n, edge = len(starts), np.flatnonzero(np.diff(line)) + 1
+    begins, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    begins[0], begins[n], begins[edge] = True, True, True
+    closes[n - 1], closes[edge - 1] = True, True
     repeated, whole = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
-    for first, stop, is_whole in spans:
+    for first, stop in paragraphs:
+        repeated[first + 1 : stop + 1] = whole[first + 1 : stop + 1] = True
+    for first, stop in passages:
         repeated[first + 1 : stop + 1] = True
-        if is_whole:
-            whole[first + 1 : stop + 1] = True
-    sizes = np.bincount(clause) if clause else np.zeros(0, int)
 
     def stretches(flags: np.ndarray) -> list[list[int]]:
         return np.flatnonzero(flags[1:] != flags[:-1]).reshape(-1, 2).tolist()
 
     def bridged(a: int, b: int) -> bool:
-        return b - a < MIN_CLAUSE_WORDS and not any(begins[a : b + 1]) or bool((sizes[clause[a:b]] < MIN_CLAUSE_WORDS).all())
+        return b - a < MIN_GAP_WORDS and (not begins[a : b + 1].any() or bool(begins[a] and begins[b]))
 
     runs: list[list[int]] = []
     for a, b in stretches(repeated):
@@ -403,17 +395,17 @@ def removed_runs(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[in
             runs[-1][1] = b
         else:
             runs.append([a, b])
-    cuts, paragraphs = [], stretches(whole)
+    cuts, lines_gone = [], stretches(whole)
     for a, b in runs:
         if b - a < MIN_RUN_WORDS:
-            cuts += [x for x in paragraphs if a <= x[0] < b]
+            cuts += [x for x in lines_gone if a <= x[0] < b]
             continue
-        # A run across lines leaves a first or last line of which it has fewer than MIN_CLAUSE_WORDS words, and not the whole.
-        for k in range(1, MIN_CLAUSE_WORDS):
+        # A run across lines leaves a first or last line of which it has fewer than MIN_GAP_WORDS words, and not the whole.
+        for k in range(1, MIN_GAP_WORDS):
             if not closes[b - 1] and begins[b - k]:
                 b -= k
                 break
-        for k in range(1, MIN_CLAUSE_WORDS):
+        for k in range(1, MIN_GAP_WORDS):
             if not begins[a] and closes[a + k - 1]:
                 a += k
                 break
@@ -430,19 +422,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "text")
     found = materialized(repeats(places), "repeats").withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
-    marked = found.agg(F.sum(F.size("marks"))).first()[0] or 0
-    joined = keyed.join(maybe_broadcast(found, 160 + 240 * marked // max(found.count(), 1)), same, "left").drop("own_id", "own_rid", "rid")
+    size = 60 + 8 * F.size("spans") + 180 * F.size("marks")
+    joined = keyed.join(maybe_broadcast(found, size), same, "left").drop("own_id", "own_rid", "rid")
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             texts, removed, words = [], [], []
             for text, spans, marks in zip(batch["text"].to_pylist(), batch["spans"], batch["marks"], strict=True):
-                ranges = [(s["first"], s["stop"], s["whole"]) for s in spans.as_py() or []]
+                whole, passages = [(s["first"], s["stop"]) for s in spans.as_py() or []], []
                 if marks.is_valid and len(marks):
-                    own = Cut([text]).word.astype(np.uint32)
-                    ranges += [(*extended(own, m["first"], m["own_first"], m["before"], m["after"]), False) for m in marks.as_py()]
-                runs = removed_runs(text, ranges) if ranges else []
+                    own = Cut([text]).word.astype(np.uint16)
+                    passages = [extended(own, m["first"], m["own_first"], m["before"], m["after"]) for m in marks.as_py()]
+                runs = removed_runs(text, whole, passages) if whole or passages else []
                 if runs:
                     edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

@@ -78,7 +78,7 @@ def test_block_pairs_keep_links(prepared, monkeypatch):
 
 
 def test_exact_copies_of_short_clauses_go(prepared):
-    """A list of clauses under MIN_CLAUSE_WORDS words has no clause to find, and its exact copy no different paragraph to link to."""
+    """Exact copies of a list of short clauses, which have no different paragraph to link to."""
     line = " ".join(f"item{k} of{k}," for k in range(30))
     rows = [(k, passage(400 + k, 40) + "\n" + line) for k in range(3)]
     found = {r.doc_id: r.text for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -97,7 +97,7 @@ def test_short_paragraphs_go_whole(prepared):
 
 
 def test_passages_without_marks_go(prepared):
-    """A passage of 53 words without a clause end, inside longer lines, goes exactly; so does one of which a word is changed, in two runs."""
+    """A passage of 53 words without a clause end, inside longer lines, goes exactly; so does one of which a word is changed."""
     shared = [f"shared{k}" for k in range(53)]
     changed = [*shared[:26], "changed", *shared[27:]]
     rows = [(k, " ".join([*(f"a{k}x{n}" for n in range(200)), *(changed if k == 2 else shared), *(f"b{k}x{n}" for n in range(200))])) for k in range(3)]
@@ -112,5 +112,60 @@ def test_windows_find_every_long_repeat():
     for k in range(200):
         same = [f"s{x}" for x in draw.integers(0, 10**6, P.MIN_RUN_WORDS)]
         texts = [" ".join([*(f"{d}w{x}" for x in draw.integers(0, 10**6, int(draw.integers(40)))), *same, *(f"{d}v{x}" for x in draw.integers(0, 10**6, int(draw.integers(40))))]) for d in "ab"]
-        doc, _, h = P.Cut(texts).windows()
+        cut = P.Cut(texts)
+        at, h = cut.windows()
+        doc = cut.word_doc[at]
         assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+
+
+def test_changed_passage_of_forty_words_goes(prepared):
+    """One of 40 words is changed, inside longer lines: the passage goes whole, its surroundings stay."""
+    for place in (10, 20, 30):
+        shared = [f"shared{k}" for k in range(40)]
+        changed = [*shared[:place], "changed", *shared[place + 1 :]]
+        rows = [(k, " ".join([*(f"a{k}x{n}" for n in range(200)), *(shared, changed)[k], *(f"b{k}x{n}" for n in range(200))])) for k in range(2)]
+        found = {r.doc_id: r for r in P.remove_repeats(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found[0].removed_words == 0 and found[1].text.split() == [f"{c}1x{n}" for c in "ab" for n in range(200)]
+
+
+def test_brute_force_paragraphs(prepared):
+    """Over all pairs of paragraphs: the clusters at similarity 0.8 are found, and all but the first of each goes."""
+    docs = prepared.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {r.doc_id: r for r in P.remove_repeats(docs).collect()}
+    core = lambda w: w.strip(P._EDGE).lower() or w
+    places = []
+    for i in sorted(texts):
+        at = 0
+        for line in texts[i].split("\n"):
+            words = [core(w) for w in line.split()]
+            if len(words) >= 5:
+                places.append((i, at, at + len(line), tuple(words)))
+            at += len(line) + 1
+    shingles = {w: {w[k : k + 5] for k in range(len(w) - 4)} for *_, w in places}
+    kinds = list(shingles)
+    owner = {w: w for w in kinds}
+
+    def top(w):
+        while owner[w] != w:
+            w = owner[w]
+        return w
+
+    by_shingle = {}
+    for w in kinds:
+        for x in shingles[w]:
+            by_shingle.setdefault(x, []).append(w)
+    for w in kinds:
+        for other in {o for x in shingles[w] for o in by_shingle[x] if o != w}:
+            a, b = shingles[w], shingles[other]
+            if len(a & b) >= 0.8 * len(a | b):
+                owner[top(w)] = top(other)
+    seen, due, lost = set(), 0, 0
+    for i, a, b, w in places:
+        if top(w) in seen:
+            due += 1
+            line = texts[i][a:b]
+            a, b = a + len(line) - len(line.lstrip()), b - len(line) + len(line.rstrip())
+            lost += not any(s.start <= a and s.end >= b for s in found[i].removed)
+        seen.add(top(w))
+    assert due > 50 and lost <= 0.02 * due
