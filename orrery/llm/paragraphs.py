@@ -24,17 +24,16 @@ without line breaks are one paragraph, whatever their length; an empty table giv
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import delete_tree, materialized, maybe_broadcast, parts_for, rows, worker_state
+from orrery.llm.common import delete_tree, materialized, maybe_broadcast, parts_for, rows
 from orrery.llm.components import connected_components
+from orrery.llm.words import Words, folded, mix
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -50,33 +49,12 @@ REACH_WORDS = WINDOW_SPAN + MIN_RUN_WORDS - 3
 #: Members of a band are compared in blocks of so many; a task holds two blocks.
 BLOCK_MEMBERS = 512
 
-_TOKEN = re.compile(r"\S+|\n")
-_LINE_BREAK = 3
-_EDGE = ".,;:!?\"'()[]{}|*#%&$<>-"
+_EDGE = b".,;:!?\"'()[]{}|*#%&$<>-"
 _ODD = np.random.default_rng(5).integers(0, 2**63, 2 * 16 + SHINGLE_WORDS, np.uint64) | np.uint64(1)
 _WINDOW_ODD = np.random.default_rng(6).integers(0, 2**63, WINDOW_WORDS, np.uint64) | np.uint64(1)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """token -> hash of its compared form; a line break has _LINE_BREAK."""
-
-    limit = 200_000
-
-    def __missing__(self, token: str) -> int:
-        core = token.strip(_EDGE).lower() or token
-        found = _LINE_BREAK if token == "\n" else xxhash.xxh64_intdigest(core.encode("utf-8"), 5) | 1 << 62
-        if len(self) < self.limit:
-            self[token] = found
-        return found
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def _sliding(f: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
     """The least (or largest) of every span neighbours, in about log2(span) steps."""
     width = 1
@@ -90,24 +68,11 @@ class Cut:
     """The words and lines of a batch of texts, as arrays over all of them."""
 
     def __init__(self, texts: list[str | None]):
-        words = worker_state("paragraph words", _Words)
-        if len(words) >= words.limit:
-            words.clear()
-        tokens = [_TOKEN.findall(t or "") for t in texts]
-        sizes = np.fromiter((len(x) + 1 for x in tokens), np.int64, len(tokens))
-        packed = np.empty(int(sizes.sum()), np.uint64)
-        at = 0
-        for x, n in zip(tokens, sizes.tolist(), strict=True):
-            packed[at : at + n - 1] = np.fromiter(map(words.__getitem__, x), np.uint64, n - 1)
-            packed[at + n - 1] = _LINE_BREAK
-            at += n
-        breaks = packed == _LINE_BREAK
-        word_at = np.flatnonzero(~breaks)
-        self.word = packed[word_at]
-        self.word_doc = np.repeat(np.arange(len(texts)), sizes)[word_at]
-        self.first_word = np.searchsorted(self.word_doc, np.arange(len(texts) + 1))  # of each document, among all words
-        self.line_ends = np.flatnonzero(breaks[word_at + 1]) + 1
-        self.line_starts = np.concatenate([[0], self.line_ends[:-1]]) if len(self.line_ends) else self.line_ends
+        self.words = Words([folded(t or "") for t in texts], _EDGE)
+        self.word, self.word_doc, self.first_word = self.words.hash, self.words.doc, self.words.first_word
+        edges = np.flatnonzero(np.diff(self.words.line)) + 1
+        self.line_starts = np.concatenate([[0], edges]) if len(self.word) else np.empty(0, np.int64)
+        self.line_ends = np.append(edges, len(self.word)) if len(self.word) else np.empty(0, np.int64)
         self.line_doc = self.word_doc[self.line_starts]
 
     def sequence_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -117,27 +82,27 @@ class Cut:
         n = ends - starts
         powers = np.multiply.accumulate(np.full(int(n.max()) + 1, _PLACE))
         place = np.arange(len(self.word)) - np.repeat(starts, n)
-        return _mix(np.add.reduceat(_mix(self.word) * powers[place], starts) + n.astype(np.uint64))
+        return mix(np.add.reduceat(mix(self.word) * powers[place], starts) + n.astype(np.uint64))
 
     def shingles(self) -> np.ndarray:
         """Hash of the SHINGLE_WORDS words from each word on (meaningless for the last words)."""
-        mixed = _mix(self.word)
+        mixed = mix(self.word)
         out = np.zeros(len(mixed), np.uint64)
         for k in range(SHINGLE_WORDS):
             out[: len(mixed) - k] += mixed[k:] * _ODD[k]
-        return _mix(out)
+        return mix(out)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of the windows that sign some block of MIN_RUN_WORDS words: those of the least hash in it."""
         n = len(self.word) - MIN_RUN_WORDS + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        mixed = _mix(self.word)
+        mixed = mix(self.word)
         m = len(mixed) - WINDOW_WORDS + 1
         hashes = np.zeros(m, np.uint64)
         for k in range(WINDOW_WORDS):
             hashes += mixed[k : k + m] * _WINDOW_ODD[k]
-        hashes = _mix(hashes)
+        hashes = mix(hashes)
         least = _sliding(np.minimum, hashes, WINDOW_SPAN)
         least[self.word_doc[:n] != self.word_doc[MIN_RUN_WORDS - 1 :]] = 0  # not within one document
         edge = np.zeros(WINDOW_SPAN - 1, np.uint64)
@@ -152,12 +117,12 @@ class Cut:
         n = stops - starts
         offsets = np.cumsum(n) - n
         own = self.shingles()[np.arange(int(n.sum())) + np.repeat(starts - offsets, n)]
-        least = [np.minimum.reduceat(_mix(own * _ODD[SHINGLE_WORDS + k]), offsets) for k in range(BANDS * ROWS)]
+        least = [np.minimum.reduceat(mix(own * _ODD[SHINGLE_WORDS + k]), offsets) for k in range(BANDS * ROWS)]
         out = np.empty((len(lines), BANDS), np.uint64)
         for b in range(BANDS):
             total = np.full(len(lines), b, np.uint64)
             for r in range(ROWS):
-                total = _mix(total * _PLACE + least[b * ROWS + r])
+                total = mix(total * _PLACE + least[b * ROWS + r])
             out[:, b] = total
         return out
 
@@ -211,14 +176,13 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, firsts: DataFrame,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
-            cut = Cut(batch["text"].to_pylist())
-            shingles, found = cut.shingles(), []
-            for d, wanted in enumerate(batch["wanted"].to_pylist()):
-                for w in wanted:
-                    a, b = cut.first_word[d] + w["first"], cut.first_word[d] + w["stop"]
-                    found.append((w["h"], np.unique(shingles[a : b - SHINGLE_WORDS + 1]).tobytes()))
-            if found:
-                yield pa.record_batch([pa.array([h for h, _ in found]), pa.array([s for _, s in found])], names=["h", "shingles"])
+            cut, lists = Cut(batch["text"].to_pylist()), batch["wanted"]
+            wanted = lists.flatten()
+            base = np.repeat(cut.first_word[:-1], lists.value_lengths().to_numpy())
+            starts, stops = (base + wanted.field(c).to_numpy() for c in ("first", "stop"))
+            shingles = cut.shingles()
+            found = [np.unique(shingles[a : b - SHINGLE_WORDS + 1]).tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+            yield pa.record_batch([wanted.field("h"), pa.array(found, pa.binary())], names=["h", "shingles"])
 
     shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets", parts)
     return verified_links(members, shingled)
@@ -242,20 +206,30 @@ def verified_links(members: DataFrame, shingled: DataFrame) -> DataFrame:
                 if k != key:
                     yield from _edges(held, key)
                     key, held = k, []
-                held.append((h, own, np.frombuffer(s.as_buffer(), np.uint64)))
+                held.append((h, own, _member(s.as_buffer())))
         yield from _edges(held, key)
 
     ordered = dealt.join(shingled, "h").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "h")
     return ordered.mapInArrow(verify, "a long, b long").distinct()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact Jaccard of two sorted sets."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+def similarity(a: np.ndarray | frozenset, b: np.ndarray | frozenset) -> float:
+    """Exact Jaccard of two sets, as frozensets or sorted arrays."""
+    shared = len(a & b) if isinstance(a, frozenset) and isinstance(b, frozenset) else len(np.intersect1d(_sorted(a), _sorted(b), assume_unique=True))
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
 
 
-def _edges(held: list[tuple[int, int, np.ndarray]], key: tuple | None) -> Iterator[pa.RecordBatch]:
+def _sorted(x: np.ndarray | frozenset) -> np.ndarray:
+    return x if isinstance(x, np.ndarray) else np.array(sorted(x), np.uint64)
+
+
+def _member(shingles: pa.Buffer) -> np.ndarray | frozenset:
+    """Small sets meet faster as frozensets; long ones stay arrays of 8 bytes an entry."""
+    found = np.frombuffer(shingles, np.uint64)
+    return frozenset(found.tolist()) if len(found) <= 1000 else found
+
+
+def _edges(held: list[tuple[int, int, np.ndarray | frozenset]], key: tuple | None) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links among one block pair's members. A member is compared with each component until a first link."""
     if len(held) < 2:
         return
@@ -300,7 +274,7 @@ def _repeated_paragraphs(docs: DataFrame, paragraphs: DataFrame, parts: int) ->
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
-    """(h, own_id, own_rid, own_first, before, after): the first occurrences of windows with the words around them, as 16-bit hashes."""
+    """(h, own_id, own_rid, own_first, around): the first occurrences of windows with the words around them."""
     wanted = firsts.groupBy("own_id", "own_rid").agg(F.collect_list(F.struct("h", "own_first")).alias("wanted"))
     wanted = materialized(wanted, "context-places", parts)
     texts = docs.join(maybe_broadcast(wanted, 40 + 16 * F.size("wanted")), _here()).select("own_id", "own_rid", "text", "wanted")
@@ -308,37 +282,51 @@ def _contexts(docs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
             cut = Cut(batch["text"].to_pylist())
-            words, lists = cut.word.astype(np.uint16), batch["wanted"]
-            h, first = lists.flatten().field("h"), lists.flatten().field("own_first")
+            lists = batch["wanted"]
             of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            low, high = cut.first_word[of], cut.first_word[of + 1]
-            at = low + first.to_numpy()
-            before = [words[max(a, p - REACH_WORDS) : p].tobytes() for a, p in zip(low.tolist(), at.tolist(), strict=True)]
-            after = [words[p : min(b, p + REACH_WORDS)].tobytes() for b, p in zip(high.tolist(), (at + WINDOW_WORDS).tolist(), strict=True)]
-            yield pa.record_batch([h, batch["own_id"].take(pa.array(of)), batch["own_rid"].take(pa.array(of)), first, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=names)
+            first, owner = lists.flatten().field("own_first"), pa.array(of)
+            around = neighbours(cut, of, first.to_numpy())
+            yield pa.record_batch([lists.flatten().field("h"), batch["own_id"].take(owner), batch["own_rid"].take(owner), first, binary_rows(around)], names=names)
 
-    fields = "h long, own_id long, own_rid long, own_first int, before binary, after binary"
+    fields = "h long, own_id long, own_rid long, own_first int, around binary"
     names = [x.split()[0] for x in fields.split(", ")]
     # Rows alike in id and text each give the words: one of them is enough.
     found = texts.mapInArrow(run, fields)
     return found.groupBy("h").agg(*(F.first(n).alias(n) for n in names[1:]))
 
 
-def _reach(like: np.ndarray) -> int:
-    """How many of the words next to a window, from it outwards, belong to the passage: an unlike word counts -4, a like one 1."""
-    score = np.cumsum(np.where(like, 1, -4))
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+def neighbours(cut: Cut, doc: np.ndarray, first: np.ndarray, none: int = 0) -> np.ndarray:
+    """For windows (text number, first word in it) the REACH_WORDS words after and before them, each from the window outwards, as odd 16-bit
+    hashes; none where the text has no more."""
+    words = (cut.word >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    low, high = cut.first_word[doc, None], cut.first_word[doc + 1, None]
+    at, step = (cut.first_word[doc] + first)[:, None], np.arange(REACH_WORDS)
+    places = np.hstack([at + WINDOW_WORDS + step, at - 1 - step])
+    inside = (places >= low) & (places < high)
+    return np.where(inside, words[np.where(inside, places, 0)] if len(words) else np.uint16(0), np.uint16(none))
 
 
-def extended(words: np.ndarray, first: int, own_first: int | None, before: bytes, after: bytes) -> tuple[int, int]:
-    """The word range of a repeated window with the words around it that agree with those at its first occurrence; own_first is that
-    occurrence's place if it is in the same document, whose words stay."""
-    left, right = np.frombuffer(before, np.uint16), np.frombuffer(after, np.uint16)
-    stop = first + WINDOW_WORDS
-    n, m = min(len(left), first), min(len(right), len(words) - stop)
-    start = first - _reach((left[len(left) - n :] == words[first - n : first])[::-1])
-    stop += _reach(right[:m] == words[stop : stop + m])
-    return (start if own_first is None else max(start, own_first + WINDOW_WORDS)), stop
+def binary_rows(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    width = values.shape[1] * values.itemsize
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def matrix(values: pa.Array, width: int) -> np.ndarray:
+    """The inverse of binary_rows, for 16-bit values."""
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint16).reshape(-1, width)
+
+
+def extended(cut: Cut, doc: np.ndarray, first: np.ndarray, own_first: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word ranges (starts, stops) of repeated windows with the words around them that agree with those at the first occurrence: from the
+    window outwards an unlike word counts -4, a like one 1, and the range ends where the sum is largest. own_first is that occurrence's place if
+    it is in the same text, whose words stay, else -1."""
+    like = neighbours(cut, doc, first, none=2) == around
+    score = np.cumsum(np.where(like, 1, -4).reshape(-1, 2, REACH_WORDS), axis=2)
+    reach = np.where(score.max(axis=2) > 0, score.argmax(axis=2) + 1, 0)
+    starts, stops = first - reach[:, 1], first + WINDOW_WORDS + reach[:, 0]
+    return np.where(own_first < 0, starts, np.maximum(starts, own_first + WINDOW_WORDS)), stops
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -359,7 +347,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     delete_tree(docs.sparkSession, found.inputFiles()[0].rpartition("/")[0])  # all that is left comes from the tables made of it
     firsts = materialized(_firsts(windows, "h"), "first-windows", parts)
     contexts = materialized(_contexts(docs, firsts, parts), "window-contexts", parts)
-    mark = F.struct("first", F.when(_here(), F.col("own_first")).alias("own_first"), "before", "after").alias("mark")
+    mark = F.struct("first", F.when(_here(), F.col("own_first")).otherwise(-1).alias("own_first"), "around").alias("mark")
     marks = windows.join(maybe_broadcast(contexts, 240), "h").where(~same).select("doc_id", "rid", mark)
 
     span = F.struct("first", "stop").alias("span")
@@ -367,13 +355,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks"))
 
 
-def removed_runs(text: str, paragraphs: list[tuple[int, int]], passages: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, words): character ranges to remove for the word ranges that repeat: runs of MIN_RUN_WORDS words or more, and of shorter
-    runs the whole paragraphs."""
-    tokens = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
-    breaks = np.fromiter((text[a] == "\n" for a in tokens[:, 0].tolist()), bool, len(tokens))
-    (starts, ends), line = tokens[~breaks].T.tolist(), np.cumsum(breaks)[~breaks]
-    n, edge = len(starts), np.flatnonzero(np.diff(line)) + 1
+def removed_runs(line: np.ndarray, paragraphs: list[tuple[int, int]], passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The word ranges to remove of those that repeat, given the line of each word: runs of MIN_RUN_WORDS words or more, and of shorter runs
+    the whole paragraphs."""
+    n, edge = len(line), np.flatnonzero(np.diff(line)) + 1
     begins, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     begins[0], begins[n], begins[edge] = True, True, True
     closes[n - 1], closes[edge - 1] = True, True
@@ -410,8 +395,30 @@ def removed_runs(text: str, paragraphs: list[tuple[int, int]], passages: list[tu
                 a += k
                 break
         cuts.append([a, b])
-    # Up to the next word, but a line that keeps its beginning keeps its break.
-    return [(starts[a], ends[b - 1] if b == n or (closes[b - 1] and not begins[a]) else starts[b], b - a) for a, b in cuts]
+    return [(a, b) for a, b in cuts if a < b]
+
+
+def character_ranges(text: str, cut: Cut, doc: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The code points of a text to remove for word ranges: up to the next word, but a line that keeps its beginning keeps its break."""
+    own = slice(cut.first_word[doc], cut.first_word[doc + 1])
+    starts, stops, line = cut.words.start[own], cut.words.stop[own], cut.words.line[own]
+    n, places = len(line), []
+    for a, b in runs:
+        closed = b == n or (line[b - 1] != line[b] and a > 0 and line[a - 1] == line[a])
+        places += [starts[a], stops[b - 1] if closed else starts[b]]
+    if not text.isascii():
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        places = before[places]
+    places = [int(x) for x in places]
+    return list(zip(places[::2], places[1::2], strict=True))
+
+
+def _by_text(texts: int, of: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in range(texts)]
+    for d, a, b in zip(of.tolist(), starts.tolist(), stops.tolist(), strict=True):
+        out[d].append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -422,25 +429,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "text")
     found = materialized(repeats(places), "repeats").withColumnRenamed("doc_id", "own_id").withColumnRenamed("rid", "own_rid")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.col("rid") == F.col("own_rid"))
-    size = 60 + 8 * F.size("spans") + 180 * F.size("marks")
+    size = 60 + 8 * F.size("spans") + 200 * F.size("marks")
     joined = keyed.join(maybe_broadcast(found, size), same, "left").drop("own_id", "own_rid", "rid")
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            texts, removed, words = [], [], []
-            for text, spans, marks in zip(batch["text"].to_pylist(), batch["spans"], batch["marks"], strict=True):
-                whole, passages = [(s["first"], s["stop"]) for s in spans.as_py() or []], []
-                if marks.is_valid and len(marks):
-                    own = Cut([text]).word.astype(np.uint16)
-                    passages = [extended(own, m["first"], m["own_first"], m["before"], m["after"]) for m in marks.as_py()]
-                runs = removed_runs(text, whole, passages) if whole or passages else []
-                if runs:
-                    edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
-                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                texts.append(text)
-                removed.append([{"start": a, "end": b} for a, b, _ in runs])
-                words.append(sum(n for *_, n in runs))
+        for batch in rows(batches, 256):
+            texts = batch["text"].to_pylist()
+            removed, words = [[] for _ in texts], [0] * len(texts)
+            touched = np.flatnonzero(batch["spans"].is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                spans, marks = (batch[c].take(pa.array(touched)) for c in ("spans", "marks"))
+                cut = Cut([texts[k] for k in touched])
+                of = np.repeat(np.arange(len(touched)), marks.value_lengths().to_numpy())
+                mark = marks.flatten()
+                around = matrix(mark.field("around"), 2 * REACH_WORDS)
+                starts, stops = extended(cut, of, *(mark.field(c).to_numpy() for c in ("first", "own_first")), around)
+                span = spans.flatten()
+                whole = np.repeat(np.arange(len(touched)), spans.value_lengths().to_numpy()), span.field("first").to_numpy(), span.field("stop").to_numpy()
+                whole, passages = (_by_text(len(touched), *x) for x in (whole, (of, starts, stops)))
+                for d, k in enumerate(touched.tolist()):
+                    text, line = texts[k], cut.words.line[cut.first_word[d] : cut.first_word[d + 1]]
+                    runs = removed_runs(line, whole[d], passages[d])
+                    if runs:
+                        ranges = character_ranges(text, cut, d, runs)
+                        edges = [0, *(x for r in ranges for x in r), len(text)]
+                        texts[k] = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                        removed[k], words[k] = [{"start": a, "end": b} for a, b in ranges], sum(b - a for a, b in runs)
             columns = [pa.array(texts, pa.string()) if n == "text" else batch[n] for n in names]
             yield pa.record_batch([*columns, pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(words, pa.int32())], names=[*names, "removed", "removed_words"])
 

@@ -133,7 +133,7 @@ def test_brute_force_paragraphs(prepared):
     docs = prepared.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     found = {r.doc_id: r for r in P.remove_repeats(docs).collect()}
-    core = lambda w: w.strip(P._EDGE).lower() or w
+    core = lambda w: w.strip(P._EDGE.decode()).lower() or w
     places = []
     for i in sorted(texts):
         at = 0
