@@ -1,8 +1,10 @@
-"""Near copies of whole documents: MinHash banding over five-word shingles, exact verification, components.
+"""One document of each group of near duplicates, by five-word shingles alike by 0.8 or more: the SimHash operator at a similarity.
 
-Words are compared as by op8's fingerprints: A-Z lowered, cut at ASCII white space. Two documents are near copies if the Jaccard similarity of
-their shingle sets is SIMILARITY or more; every candidate pair is verified by its exact sets. BANDS x ROWS are tuned for recall: a pair at the
-threshold shares a band with chance 1 - (1 - 0.8 ** 3) ** 10 = 0.9992. Copies alike in all words are one point.
+At that similarity two 64-bit fingerprints differ in about ten bits. Cells of the segment-popcount grid that lose no pair within so wide a radius
+would hold nearly all documents (README has the figures), so the grid's components at RADIUS bits are one source of candidates, and bands of
+MinHash values the other: BANDS x ROWS are tuned for recall, a pair at the threshold shares a band with chance 1 - (1 - 0.8 ** 3) ** 10 =
+0.9992. Every candidate pair is verified by its exact sets, and links form components. Words are compared as by SimHash fingerprints: A-Z lowered,
+cut at ASCII white space. Copies alike in all words are one point.
 
 Defined cases: texts without a word are copies of each other; a text of fewer words than a shingle is one shingle; rows alike in id and text come
 down to one; an empty table gives no rows; other columns pass through.
@@ -18,74 +20,58 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialized, maybe_broadcast, parts_for, rows, worker_state
+from orrery.llm import simhash
+from orrery.llm.common import materialized, maybe_broadcast, parts_for, rows
 from orrery.llm.components import connected_components
 from orrery.llm.paragraphs import band_members, verified_links
+from orrery.llm.words import Words, mix
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 10, 3
+RADIUS = 3
 
 _ODD = np.random.default_rng(8).integers(0, 2**63, SHINGLE_WORDS + BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-class _Words(dict):
-    """word -> hash."""
+def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes (uint64) of its SHINGLE_WORDS-word runs, repeats included."""
+    words = Words([(t or "").encode("utf-8").lower() for t in texts])
+    found = []
+    for a, b in zip(words.first_word[:-1].tolist(), words.first_word[1:].tolist(), strict=True):
+        size = min(SHINGLE_WORDS, b - a)
+        out = np.full(b - a - size + 1 if size else 0, size, np.uint64)
+        for k in range(size):
+            out += words.hash[a + k : a + k + len(out)] * _ODD[k]
+        found.append(mix(out))
+    return found
 
-    limit = 200_000
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < self.limit:
-            self[word] = found
-        return found
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of the text's SHINGLE_WORDS-word runs."""
-    known = worker_state("near copy words", _Words)
-    if len(known) >= known.limit:
-        known.clear()
-    found = (text or "").encode("utf-8").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    words = _mix(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
-    size = min(SHINGLE_WORDS, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out += words[k : k + len(out)] * _ODD[k]
-    return np.unique(_mix(out))
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
+def bands(distinct: np.ndarray) -> np.ndarray:
     """BANDS band hashes of a set that is not empty."""
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(BANDS * ROWS):
         b = k // ROWS
-        out[b : b + 1] = _mix(out[b : b + 1] * _ODD[0] + _mix(shingles * _ODD[SHINGLE_WORDS + k]).min())
+        out[b : b + 1] = mix(out[b : b + 1] * _ODD[0] + mix(distinct * _ODD[SHINGLE_WORDS + k]).min())
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, h, bands) a row: rid is a hash of the text, h of its shingle set; a text without a word has h 0 and no bands."""
+    """(doc_id, rid, h, fp, bands) a row: rid is a hash of the text, h of its shingle set, fp its SimHash; a text without a word has h 0, no fp
+    and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            hashes, found = [], []
-            for text in batch["text"].to_pylist():
-                shingles = shingle_set(text)
-                hashes.append(xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0)
-                found.append(bands(shingles).view(np.int64) if len(shingles) else None)
-            h = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            yield pa.record_batch([batch["doc_id"], batch["rid"], h, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "rid", "h", "bands"])
+        for batch in rows(batches, 256):
+            hashes, fps, found = [], [], []
+            for every in shingles(batch["text"].to_pylist()):
+                distinct = np.unique(every)
+                hashes.append(xxhash.xxh64_intdigest(distinct.tobytes()) if len(every) else 0)
+                fps.append(simhash.majority(every))
+                found.append(bands(distinct).view(np.int64) if len(every) else None)
+            h, fp = pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64), mask=np.array([x is None for x in found], bool))
+            yield pa.record_batch([batch["doc_id"], batch["rid"], h, fp, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "rid", "h", "fp", "bands"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
-    return keyed.mapInArrow(run, "doc_id long, rid long, h long, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, rid long, h long, fp long, bands array<long>")
 
 
 def _same() -> F.Column:
@@ -93,8 +79,10 @@ def _same() -> F.Column:
 
 
 def links(docs: DataFrame, marked: DataFrame, parts: int) -> DataFrame:
-    """(a, b): hashes of different shingle sets with similarity SIMILARITY or more that share a band."""
-    members = band_members(marked.select("h", F.explode("bands").alias("band")).distinct(), parts)
+    """(a, b): hashes of different shingle sets with similarity SIMILARITY or more that share a band or a component of the SimHash grid."""
+    points = materialized(marked.where("fp IS NOT NULL").select("h", "fp").distinct(), "near-copy-points", parts)
+    grid = points.join(maybe_broadcast(simhash.components(points, RADIUS), 24), "fp").select("h", F.xxhash64("component", F.lit("grid")).alias("band"))
+    members = band_members(marked.select("h", F.explode("bands").alias("band")).distinct().union(grid), parts)
     wanted = materialized(members.select("h").distinct(), "compared", parts)
     places = marked.join(maybe_broadcast(wanted, 16), "h").groupBy("h").agg(F.min(F.struct("doc_id", "rid")).alias("p"))
     places = materialized(places.select(F.col("p.doc_id").alias("own_id"), F.col("p.rid").alias("own_rid"), "h"), "compared-places", parts)
@@ -102,7 +90,7 @@ def links(docs: DataFrame, marked: DataFrame, parts: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
-            yield pa.record_batch([batch["h"], pa.array([shingle_set(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["h", "shingles"])
+            yield pa.record_batch([batch["h"], pa.array([np.unique(x).tobytes() for x in shingles(batch["text"].to_pylist())], pa.binary())], names=["h", "shingles"])
 
     # Rows alike in id and text each give the set: one of them is enough.
     shingled = texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles"))

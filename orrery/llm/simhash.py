@@ -4,10 +4,11 @@ A fingerprint's 64 bits are cut into narrow segments; the vector of their bit co
 distance d lie at Manhattan distance at most d, so a range join on the grid loses no pair. The grid is searched by cells: the segments are
 dealt to g groups, and points within Manhattan distance r agree exactly on at least g - r groups, so they share the cell made of some
 g - r groups' counts. g follows the number of distinct fingerprints, so that chance sharing of cells stays rare at any size. Within a
-cell the Manhattan bound drops most pairs and the exact Hamming distance decides.
+cell only pairs within Manhattan distance r go on to the exact Hamming distance.
 
 Copies with one fingerprint are one point. A cell yields a spanning forest of its links, never all its pairs; components of the forest are
-those of all links.
+those of all links. A cell of more than CELL_POINTS points is not compared by the task that meets it: its points are dealt to blocks, and
+every pair of blocks is a task's work of its own.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; a text of fewer words than a shingle is one shingle;
 rows of equal or null doc_id each get a row, and a component's id is its smallest non-null doc_id; an empty table gives no rows; other
@@ -32,6 +33,7 @@ from orrery.llm.components import connected_components
 SEGMENT_BITS = 2
 #: Chance that two independent even bits' segment counts agree (0, 1, 2 with weights 1/4, 1/2, 1/4).
 _SEGMENT_MATCH = 0.375
+CELL_POINTS = 8192
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
@@ -40,7 +42,11 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     if not words:
         return 0
     size = min(shingle_words, len(words))
-    hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))], "<u8")
+    return majority(np.array([xxhash.xxh64_intdigest(x, 42) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes (uint64)."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -95,8 +101,16 @@ def cells(points: DataFrame, groups: int, radius: int) -> DataFrame:
     return points.mapInArrow(run, "cell long, fp long")
 
 
+def unary(fps: np.ndarray) -> np.ndarray:
+    """Segment bit counts in unary (none, one, two of a segment's bits set: 00, 01, 11), so that bits that differ count the Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    a, b = fps & low, fps >> np.uint64(1) & low
+    return (a | b) | (a & b) << np.uint64(1)
+
+
 def forest(fps: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints (uint64), comparing block with block."""
+    """Edges of a spanning forest of the links among distinct fingerprints (uint64), comparing block with block: first the Manhattan distance
+    of their grid points, then, for pairs within the radius, the Hamming distance."""
     n = len(fps)
     root = np.arange(n)
 
@@ -110,12 +124,15 @@ def forest(fps: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray,
     counts = popcounts(fps).astype(np.int16).sum(axis=1)
     order = np.argsort(counts, kind="stable")
     fps, counts = fps[order], counts[order]
+    points = unary(fps)
     for i in range(0, n, block):
         for j in range(i, n, block):
             if counts[j] - counts[min(i + block, n) - 1] > radius:
                 break  # total counts alone are further apart than the radius, here and beyond
-            near = np.bitwise_count(fps[i : i + block, None] ^ fps[None, j : j + block]) <= radius
-            for a, b in zip(*np.nonzero(np.triu(near, 1) if i == j else near), strict=True):
+            near = np.bitwise_count(points[i : i + block, None] ^ points[None, j : j + block]) <= radius
+            rows_near, columns_near = np.nonzero(np.triu(near, 1) if i == j else near)
+            linked = np.bitwise_count(fps[i + rows_near] ^ fps[j + columns_near]) <= radius
+            for a, b in zip(rows_near[linked].tolist(), columns_near[linked].tolist(), strict=True):
                 x, y = find(i + a), find(j + b)
                 if x != y:
                     root[y] = x
@@ -124,41 +141,68 @@ def forest(fps: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray,
     return np.array(left, np.uint64), np.array(right, np.uint64)
 
 
-def links(points: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): for distinct fingerprints fp, edges whose components are those of all links at radius or fewer differing bits."""
-    groups = group_count(points.count(), radius)  # points are a written table: its count is in the files' footers
+def _cell_forests(dealt: DataFrame, key: list[str], radius: int, most: int | None) -> DataFrame:
+    """(a, b, cell): of rows (key..., fp) sorted by key, the links of each key's points; of keys with more than most points, all points as
+    (fp, null, cell) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cell, held = None, []  # one cell's distinct fingerprints, 8 bytes each
+        held_key, held, size = None, [], 0  # one key's points, 8 bytes each, until it is known to be large
+
+        def out(a: np.ndarray, b: pa.Array, cell: pa.Array) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(a), b, cell], names=["a", "b", "cell"])
 
-        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def passed(parts: list[np.ndarray], cell: int) -> pa.RecordBatch:
+            a = np.concatenate(parts)
+            return out(a, pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), cell)))
+
+        def linked(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             a, b = forest(np.unique(np.concatenate(parts)).view(np.uint64), radius)
             if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield out(a.view(np.int64), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()))
 
         for batch in batches:
-            cell, fps = batch["cell"].to_numpy(), batch["fp"].to_numpy()
-            edges = np.flatnonzero(np.diff(cell)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(cell)]])
-            if len(cell) == 0:
+            if not batch.num_rows:
                 continue
+            keys, fps = [batch[k].to_numpy() for k in key], batch["fp"].to_numpy()
+            edges = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(fps)]])
             sizes = ends - starts
-            # Cells of one point have no pair; only the batch's first and last cells can go on elsewhere.
+            # Keys of one point have no pair; only the batch's first and last keys can go on elsewhere.
             for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                if held and cell[starts[k]] != held_cell:
-                    if sum(map(len, held)) > 1:
-                        yield from out(held)
-                    held = []
-                held_cell = cell[starts[k]]
+                own = tuple(int(x[starts[k]]) for x in keys)
+                if own != held_key:
+                    if size > 1 and held:
+                        yield from linked(held)
+                    held_key, held, size = own, [], 0
                 held.append(fps[starts[k] : ends[k]].copy())
-        if held and sum(map(len, held)) > 1:
-            yield from out(held)
+                size += len(held[-1])
+                if most is not None and size > most:
+                    yield passed(held, held_key[0])
+                    held = []
+        if size > 1 and held:
+            yield from linked(held)
 
-    dealt = cells(points, groups, radius).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, cell long")
 
 
-def _components(marked: DataFrame, radius: int) -> DataFrame:
+def links(points: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): for distinct fingerprints fp, edges whose components are those of all links at radius or fewer differing bits."""
+    count = points.count()  # points are a written table: its count is in the files' footers
+    dealt = cells(points, group_count(count, radius), radius).repartition("cell").sortWithinPartitions("cell")
+    found = materialized(_cell_forests(dealt, ["cell"], radius, CELL_POINTS), "cell-links", 4 * parts_for(count))
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    large = found.where("b IS NULL").select("cell", F.col("a").alias("fp"))
+    if not large.isEmpty():
+        blocks = materialized(large.groupBy("cell").agg(F.ceil(F.count("*") / CELL_POINTS).cast("int").alias("blocks")), "large-cells", 1)
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        dealt = large.join(maybe_broadcast(blocks, 16), "cell").select("cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        edges = edges.union(_cell_forests(dealt, ["cell", "i", "j"], radius, None).select("a", "b"))
+    return edges.distinct()
+
+
+def components(marked: DataFrame, radius: int) -> DataFrame:
     """(fp, component): for every distinct fingerprint, the smallest fingerprint reachable."""
     parts = parts_for(marked.count())
     points = materialized(marked.select("fp").distinct(), "fingerprint-points", parts)
@@ -169,28 +213,7 @@ def _components(marked: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) a row of docs. Shuffles carry ids and fingerprints only, never texts."""
     marked = materialized(fingerprints(docs, shingle_words), "fingerprints")
-    owners = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(_components(marked, radius), "fp")
+    owners = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(components(marked, radius), "fp")
     least = owners.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = owners.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest non-null doc_id, then text hash.
-
-    The kept rows' keys are broadcast where counted small, and joined otherwise. Rows alike in id and text come down to one."""
-    marked = materialized(fingerprints(docs, shingle_words), "fingerprints")
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))
-    firsts = marked.groupBy("fp").agg(place.alias("place")).join(_components(marked, radius), "fp").groupBy("component").agg(F.min("place").alias("place"))
-    parts = parts_for(marked.count())
-    kept = materialized(firsts.select(F.col("place.doc_id").alias("kept_id"), F.col("place.rid").alias("kept_rid")), "kept", parts)
-    same = F.xxhash64("text").eqNullSafe(F.col("kept_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    found = docs.join(maybe_broadcast(kept, 24), same, "left_semi")
-    alike = marked.groupBy("doc_id", "rid").count().where("count > 1")
-    alike = materialized(alike.select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")), "alike", parts)
-    if alike.isEmpty():
-        return found
-    side = maybe_broadcast(alike, 24)
-    once = found.join(side, same, "left_semi")
-    once = once.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return found.join(side, same, "left_anti").union(once)

@@ -100,16 +100,23 @@ def test_forest_over_blocks():
         assert len(a) == len(fps) - 3 and (np.bitwise_count(a ^ b) <= 3).all()
 
 
-def test_keep_one(edge_docs, empty_docs):
-    rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
-    groups = {}
-    for (doc_id, text), (_, _, component) in zip(rows, brute(rows), strict=True):
-        # two texts of id 5 are components of their own with the same smallest id
-        groups.setdefault((component, S.fingerprint(text) if component in (None, 5) else None), []).append((doc_id, text))
-    kept = [(r.doc_id, r.text) for r in S.keep_one(edge_docs).collect()]
-    assert len(kept) == len(groups)
-    assert sorted(i for i, _ in kept if i is not None) == sorted(c for c, _ in groups if c is not None)
-    assert S.keep_one(empty_docs).collect() == []
+def test_large_cells_are_split(prepared, monkeypatch):
+    """Cells beyond CELL_POINTS go through pairs of blocks and lose no link."""
+    draw = np.random.default_rng(11)
+    points = {0}
+    while len(points) < 150:
+        points.add(list(points)[int(draw.integers(len(points)))] ^ (1 << int(draw.integers(40))))
+    df = prepared.createDataFrame([(np.uint64(p).astype(np.int64).item(),) for p in points], "fp long")
+    whole = {(r.node, r.component) for r in connected_components(S.links(df)).collect()}
+    monkeypatch.setattr(S, "CELL_POINTS", 16)
+    assert {(r.node, r.component) for r in connected_components(S.links(df)).collect()} == whole and {c for _, c in whole} == {min(p for p, _ in whole)}
+
+
+def test_unary_counts_manhattan():
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 2**64, 500, np.uint64), draw.integers(0, 2**64, 500, np.uint64)
+    distance = np.abs(S.popcounts(a).astype(int) - S.popcounts(b).astype(int)).sum(axis=1)
+    assert (np.bitwise_count(S.unary(a) ^ S.unary(b)) == distance).all()
 
 
 def test_components(prepared):
