@@ -11,7 +11,6 @@ empty text in the split; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -46,10 +45,14 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter is a code point of the Unicode categories L*: numerals and numbers of other kinds (No, Nl) are none."""
+    return any(c.isalpha() for c in text or "")
+
+
 def family_of(lang: str) -> str:
     return _FAMILY_OF.get(lang, f"only {lang}")
 
@@ -144,7 +147,7 @@ def fit_vectors(x: np.ndarray, langs: list[str]) -> LanguageModel:
 def fit(docs: DataFrame, train: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Fit on the rows where train holds, lang is known and text has a letter. Executors make the features; the driver gets per_language
     sparse vectors a language, chosen by hash, from a scan that first counts rows by language."""
-    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(2**40))
     counted = docs.where(train & F.col("lang").isNotNull()).groupBy("lang").count().collect()
     limits = F.lit(None).cast("double")
@@ -155,6 +158,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = SAMPLE_PER_LANGUAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
+            batch = batch.filter(pa.array([has_letter(t) for t in batch["text"].to_pylist()], pa.bool_()))
             found = [features(t) for t in batch["text"].to_pylist()]
             at = [np.flatnonzero(x).astype(np.int16) for x in found]
             yield pa.record_batch([batch["lang"], batch["place"], pa.array([a.tobytes() for a in at]), pa.array([x[a].tobytes() for x, a in zip(found, at, strict=True)])], names=["lang", "place", "at", "value"])
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = SAMPLE_PER_LANGUAGE)
 
 
 def predict_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    known = [t is not None and bool(_LETTER.search(t)) for t in texts]
+    known = [has_letter(t) for t in texts]
     x = np.array([features(t) for t, k in zip(texts, known, strict=True) if k]).reshape(-1, DIMENSIONS)
     langs, scores = model.predict(x.astype(np.float32))
     out_lang, out_score = [UNDETERMINED] * len(texts), np.zeros(len(texts))

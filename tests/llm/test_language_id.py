@@ -53,3 +53,12 @@ def test_svm_separates():
     y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0.1, 1, -1)
     w = L.linear_svm(x, y)
     assert ((np.hstack([x, np.ones((200, 1))]) @ w > 0) == (y > 0)).mean() > 0.97
+
+
+def test_letters(prepared):
+    """Numerals and other numbers are no letters, in fitting and predicting alike."""
+    rows = [(1, "²³ 12"), (2, "½ ① Ⅷ"), (3, "42 _ !"), (4, "ª"), (5, "日"), (6, "a"), (7, ""), (8, None)]
+    docs = prepared.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    model = L.fit(docs, train=F.lit(True))
+    assert {r.doc_id: r.lang_pred for r in L.identify(docs, model).collect()} == {i: "en" if i in (4, 5, 6) else "und" for i, _ in rows}
+    assert L.fit(docs.where("doc_id < 4"), train=F.lit(True)).families == []
