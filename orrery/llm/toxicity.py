@@ -4,7 +4,7 @@ A word is the sum of rows of two hashed tables, one by the whole word and one by
 one collision alone does not make a word look like another. Filters of WIDTHS words slide
 over the whole text; each filter's largest response goes to a logistic layer. The embeddings' first channel starts from the smoothed
 log-odds of each bucket, the rest small and random; all weights are then trained by Adam on a bounded sample of labelled rows
-(SAMPLE_PER_CLASS). The threshold is calibrated for each predicted language on sampled rows kept from training; scores are shifted on the
+(SAMPLE_PER_CLASS, SAMPLE_WORDS_PER_CLASS). The threshold is calibrated for each predicted language on sampled rows kept from training; scores are shifted on the
 logistic scale so that each language's threshold lies at CUT. The language comes from the text alone (language_id), never from columns.
 
 Defined cases: null, empty or wordless text scores as all-zero features do; a null or unknown label is no label; a null id counts as empty
@@ -27,8 +27,8 @@ from orrery.llm.common import materialized, maybe_broadcast, rows, worker_state
 
 #: At most so many labelled rows of each class are used for fitting and calibration, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 2000
-#: Sampled rows of more words are left out of fitting (never of scoring), so that the sample's size on the driver has a bound.
-SAMPLE_WORDS = 4096
+#: Of those, in the same order, rows are taken, whole and of any length, until they have so many words (8 bytes each on the driver).
+SAMPLE_WORDS_PER_CLASS = 4_000_000
 #: Of those, at most so many a language fit the language model.
 SAMPLE_PER_LANGUAGE = 200
 BUCKETS = 2**18
@@ -197,12 +197,13 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, langs: list[str], weights:
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = SAMPLE_PER_CLASS, words_per_class: int = SAMPLE_WORDS_PER_CLASS) -> ToxicityModel | None:
     """Fit on rows of docs joined with labels (doc_id, toxic) where train_rows holds. Executors turn whole texts into word buckets; the driver
-    gets those of per_class rows a class, chosen by hash, and none of the texts."""
+    gets those of the sample (per_class, words_per_class), chosen by hash, and none of the texts. Documents of one id count as one, that of
+    the least text hash."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")), F.lit(2**40))
-    known = known.where(train_rows).select("doc_id", "toxic", place.alias("place"))
+    known = known.where(train_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"), place.alias("place"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
@@ -212,24 +213,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_state("word hashes", WordHashes)
-        for batch in rows(batches):
-            ids = [word_ids(t, hashes) for t in batch["text"].to_pylist()]
-            fits = [k for k, x in enumerate(ids) if x.shape[1] <= SAMPLE_WORDS]
-            vectors = [language_id.features(batch["text"][k].as_py() or "") for k in fits]
+        for batch in rows(batches, 64):
+            texts = batch["text"].to_pylist()
+            ids, vectors = [word_ids(t, hashes) for t in texts], [language_id.features(t or "") for t in texts]
             at = [np.flatnonzero(x).astype(np.int16) for x in vectors]
-            own = batch.take(pa.array(fits, pa.int64()))
-            columns = [pa.array([ids[k].tobytes() for k in fits], pa.binary()), own["lang"], pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x[a].tobytes() for x, a in zip(vectors, at, strict=True)], pa.binary())]
-            yield pa.record_batch([own["toxic"], own["place"], *columns], names=["toxic", "place", "ids", "lang", "at", "value"])
+            columns = [pa.array([x.shape[1] for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), batch["lang"], pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x[a].tobytes() for x, a in zip(vectors, at, strict=True)], pa.binary())]
+            yield pa.record_batch([batch["toxic"], batch["place"], *columns], names=["toxic", "place", "words", "ids", "lang", "at", "value"])
 
     chosen_ids = materialized(known.where(F.col("place") < limit), "toxicity-sample")
     joined = docs.select("doc_id", "text", "lang").join(maybe_broadcast(chosen_ids, 24), "doc_id")
-    got = joined.select("text", "lang", F.col("toxic").cast("int").alias("toxic"), "place").mapInArrow(run, "toxic int, place long, ids binary, lang string, at binary, value binary").collect()
-    got = sorted(got, key=lambda r: (r["toxic"], r["place"], bytes(r["ids"])))
-    kept = [[r for r in got if r["toxic"] == y][:per_class] for y in (0, 1)]
-    if not all(kept):
-        return None
-    chosen = kept[0] + kept[1]
-    return fit_rows(chosen, counts)
+    one = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("rid"), "text", "lang", "toxic", "place")).alias("one")).select("one.*")
+    sample = materialized(one.select("text", "lang", "toxic", "place").mapInArrow(run, "toxic int, place long, words long, ids binary, lang string, at binary, value binary"), "toxicity-vectors")
+    sizes = sorted(tuple(r) for r in sample.select("toxic", "place", "words").collect())
+    last = {}
+    for y in (0, 1):
+        own = [(place, words) for toxic, place, words in sizes if toxic == y][:per_class]
+        if not own:
+            return None
+        before = np.cumsum([0, *(words for _, words in own)])[:-1]
+        last[y] = max(place for (place, _), words in zip(own, before.tolist(), strict=True) if words < words_per_class)
+    got = sample.where((F.col("toxic") == 0) & (F.col("place") <= last[0]) | (F.col("toxic") == 1) & (F.col("place") <= last[1])).collect()
+    return fit_rows(sorted(got, key=lambda r: (r["toxic"], r["place"], bytes(r["ids"]))), counts)
 
 
 def fit_rows(chosen: list, counts: dict[int, int]) -> ToxicityModel:

@@ -62,3 +62,14 @@ def test_blocks_pool_alike():
         windows = np.hstack([x[j : len(x) - w + 1 + j] for j in range(w)]) @ model.filters[k]
         assert np.allclose(windows.max(axis=0), most[k * X.FILTERS : (k + 1) * X.FILTERS], atol=1e-4)
     assert (where < 40_000).all()
+
+
+def test_long_labelled_rows_are_learned(prepared):
+    """Labelled rows of over 4,096 words alone: held-out accuracy is that of short ones. A bound on words takes whole rows of any length."""
+    docs, labels = planted(prepared, 160)
+    longer = docs.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.lit(prose(5, 300) + " "), 15)))
+    assert longer.select(F.min(F.size(F.split("text", r"\s+"))).alias("n")).first().n > 4096
+    model = X.fit(longer, labels, train_rows=id_bucket("doc_id", 4) != 2)
+    found = X.score(longer, model).join(labels, "doc_id").where(id_bucket("doc_id", 4) == 2).collect()
+    assert np.mean([(r.predicted == 1) == (r.toxic == 1) for r in found]) > 0.9 and len({r.predicted for r in found}) == 2
+    assert X.fit(longer, labels, train_rows=F.lit(True), words_per_class=1) is not None
