@@ -10,20 +10,20 @@ documents go first in each block, so it tends to be small.
 Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at 3 times its source's size, and
 the excess is shared again by weight.
 
-Defined cases: null or blank texts have size 0 and take 0 words; a null source is a source; rows repeated whole are rounded as separate
-documents (which of them is taken is arbitrary, the rows out are the same); null ids sort first in a block; an empty table gives no rows.
-Randomness hashes the seed, the ids and the tree level, so reruns agree however rows are dealt out.
+Defined cases: null or blank texts have size 0 and take 0 words; a null source is a source; rows alike in id, text and source are separate
+documents, rounded as one group (which of them is taken is arbitrary, the rows out are the same); null ids sort first in a block; an empty
+table gives no rows. Randomness hashes the seed, the ids and the tree level, so reruns agree however rows are dealt out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.common import materialized, maybe_broadcast, parts_for
@@ -31,23 +31,7 @@ from orrery.llm.common import materialized, maybe_broadcast, parts_for
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: known tells a null doc_id (kept as 0) apart: pandas would turn a column of longs with nulls into doubles.
-_STATE = "source string, doc_id long, known boolean, rid long, size long, p double, level int, block long"
-
-
-def capped_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = MAX_REPEATS) -> np.ndarray:
-    """Shares of the total by weight, none above cap times its own size."""
-    size, weight = np.asarray(sizes, float), np.asarray(weights, float)
-    target, free, left = np.zeros(len(size)), size > 0, float(size.sum())
-    while free.any():
-        share = left * weight / weight[free].sum()
-        over = free & (share > cap * size)
-        if not over.any():
-            target[free] = share[free]
-            break
-        target[over] = cap * size[over]
-        left -= float(target[over].sum())
-        free &= ~over
-    return target
+_STATE = "source string, doc_id long, known boolean, rid long, size long, p double, level int, block long, n long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -55,12 +39,35 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def ranked(sources: DataFrame, parts: int) -> DataFrame:
+    """sources with place: the number (from 0) of each by code point, null last. Only counts of ranges are added up in one place."""
+    last = F.col("source").isNull()
+    ordered = sources.repartitionByRange(parts, last, "source").sortWithinPartitions(last, "source")
+    ordered = materialized(ordered.withColumn("place", F.monotonically_increasing_id()), "ranked-sources")
+    part = F.shiftright("place", 33)
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = ordered.join(F.broadcast(ranges), part == F.col("part"))  # one row a range
+    return joined.withColumn("place", F.col("before") + F.col("place") - F.shiftleft(F.col("part"), 33)).drop("part", "before")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, n_docs, target). One row a source goes to the driver: the list of sources, not of documents."""
-    found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs")).collect()
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    targets = capped_targets([r["source_size"] for r in found], [1 + k % 3 for k in range(len(found))])
-    return sizes.sparkSession.createDataFrame([(r["source"], r["source_size"], r["n_docs"], float(t)) for r, t in zip(found, targets, strict=True)], "source string, source_size long, n_docs long, target double")
+    """(source, source_size, n_docs, target), a written table: sources may be as many as hosts. Sources whose share of what is left by weight
+    exceeds MAX_REPEATS times their size stop there, until none does; the driver gets two sums a round."""
+    found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
+    found = materialized(found, "sources")
+    parts = parts_for(found.count())
+    found = materialized(ranked(found, parts).withColumn("weight", 1 + F.col("place") % 3), "weighed-sources", parts)
+    most, price = MAX_REPEATS * F.col("source_size"), F.lit(0.0)  # words a unit of weight; a source is full where its cap is below its share
+    total, full = found.agg(F.sum("source_size")).first()[0] or 0, -1
+    while True:
+        over = (F.col("source_size") == 0) | (most < price * F.col("weight"))
+        r = found.agg(F.count_if(over).alias("full"), F.sum(F.when(over, most).otherwise(0)).alias("taken"), F.sum(F.when(over, 0).otherwise(F.col("weight"))).alias("free")).first()
+        if r["full"] == full or not r["free"]:
+            break
+        full, price = r["full"], F.lit((total - r["taken"]) / r["free"])
+    target = F.least(most.cast("double"), price * F.col("weight"))
+    return materialized(found.select("source", "source_size", "n_docs", target.alias("target")), "source-targets", parts)
 
 
 def _draws(seed: int, level: int, key: str, n: int) -> np.ndarray:
@@ -94,7 +101,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray, last: float | None
 
 
 def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int, parts: int | None = None) -> DataFrame:
-    """(source, doc_id, rid, size, p): p of every row rounded to 0 or 1. fractions has _STATE's columns, blocks numbered from 0 in each source."""
+    """(source, doc_id, rid, size, n, p): p of every row rounded to 0 or 1. fractions has _STATE's columns, blocks numbered from 0 in each source."""
 
     def combine(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,39 +127,71 @@ def rounded(fractions: DataFrame, levels: int, fan_in: int, seed: int, parts: in
     out = pieces[0]
     for part in pieces[1:]:
         out = out.union(part)
-    return out.select("source", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "rid", "size", "p")
+    return out.select("source", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "rid", "size", "n", "p")
 
 
-def mix(docs: DataFrame, seed: int = 7, block_rows: int = 2_000, fan_in: int = 64) -> DataFrame:
-    """(doc_id, rid, source, size, source_size, target, copies, taken) a row of docs: taken is the words that the mix takes, repeats counted.
+#: A group of copies that makes more rows than this is dealt out in pieces of so many.
+PIECE_ROWS = 4096
+
+
+def repeated(df: DataFrame, times: str, number: str, many: bool) -> DataFrame:
+    """Each row as often as its column times says, numbered from 0. Where rows have many copies (many), those are dealt out in pieces, so that
+    no task makes them all."""
+    plain = df.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    if not many:
+        return plain
+    few, many_rows = plain.where(F.col(times) <= PIECE_ROWS), df.where(F.col(times) > PIECE_ROWS)
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(PIECE_ROWS).cast("long"))).alias("_from")
+    dealt = many_rows.select("*", piece).withColumn("_deal", F.xxhash64("_from", *(c for c in ("doc_id", "rid") if c in df.columns))).repartition("_deal").drop("_deal")
+    last = F.least(F.col("_from") + PIECE_ROWS, F.col(times)) - 1
+    dealt = dealt.withColumn(number, F.explode(F.sequence("_from", last))).drop("_from")
+    return few.union(dealt)
 
-    Shuffles carry ids and sizes only. A hot source is many blocks of about block_rows, by a hash of its ids."""
-    sizes = materialized(sized(docs), "sizes")
+
+def _any_many(df: DataFrame, times: str) -> bool:
+    return not df.where(F.col(times) > PIECE_ROWS).limit(1).isEmpty()
+
+
+def groups(docs: DataFrame, seed: int, block_rows: int, fan_in: int) -> DataFrame:
+    """(doc_id, rid, source, size, n, source_size, target, base, extra): n rows alike in id, text and source, of which each is taken base times
+    and extra of them once more.
+
+    Rows alike are one entry: pivotal steps among them end with the whole part of n times the fraction taken, and one fractional row, which
+    alone goes on. Shuffles carry ids and sizes only. A hot source is many blocks of about block_rows, by a hash of ids and texts."""
+    sizes = materialized(sized(docs).groupBy("doc_id", "rid", "source", "size").agg(F.count("*").alias("n")), "sizes")
     parts = 4 * parts_for(sizes.count())
     targets = source_targets(sizes)
+    side = maybe_broadcast(targets, 80)
     rate = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS)))).otherwise(0.0)
-    blocks = F.ceil(F.col("n_docs") / block_rows).cast("long")
-    joined = sizes.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).select("source", "doc_id", "rid", "size", "source_size", "target", rate.alias("rate"), F.greatest(blocks, F.lit(1)).alias("blocks"))
+    joined = sizes.withColumnRenamed("source", "own").join(side, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("rate", rate)
+    due = F.col("n") * (F.col("rate") - F.floor("rate"))
     most = targets.agg(F.max("n_docs")).first()[0] or 1
     levels = math.ceil(math.log(max(1, math.ceil(most / block_rows)), fan_in) - 1e-9)
-    fraction = F.col("rate") - F.floor("rate")
-    state = joined.where((F.col("size") > 0) & (fraction > 0)).select("source", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "rid", "size", fraction.alias("p"), F.lit(0).alias("level"), F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"))
+    blocks = F.greatest(F.ceil(F.col("n_docs") / block_rows).cast("long"), F.lit(1))
+    block = F.pmod(F.xxhash64("doc_id", "rid", "size"), blocks).alias("block")
+    open_ = due > F.floor(due)
+    state = joined.where(open_).select("source", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "rid", "size", (due - F.floor(due)).alias("p"), F.lit(0).alias("level"), block, "n")
     drawn = rounded(state, levels, fan_in, seed, parts)
-    whole = joined.where(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rid", "size", F.lit(0.0).alias("p"))
-    result = drawn.union(whole).withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source")))
-    copies = F.floor(rate).cast("long") + F.col("p").cast("long")
-    return result.select("doc_id", "rid", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows, each as often as mix() takes it. Documents without words are left out."""
-    plan = mix(docs, **options).where("copies > 0")
-    key = ["doc_id", "rid", "source"]
-    plan = plan.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_alike"))
-    plan = materialized(plan.select(*(F.col(c).alias(f"_{c}") for c in key), "_copies", "_alike"), "mix-copies")
+    whole = joined.where(~open_).select("source", "doc_id", "rid", "size", "n", F.lit(0.0).alias("p"))
+    result = drawn.select(*whole.columns).union(whole).withColumnRenamed("source", "own").join(side, F.col("own").eqNullSafe(F.col("source"))).withColumn("rate", rate)
+    return result.select("doc_id", "rid", "source", "size", "n", "source_size", "target", F.floor("rate").cast("long").alias("base"), (F.floor(due) + F.col("p")).cast("long").alias("extra"))
+
+
+def mix(docs: DataFrame, seed: int = 7, block_rows: int = 2_000, fan_in: int = 64) -> DataFrame:
+    """(doc_id, rid, source, size, source_size, target, copies, taken) a row of docs: taken is the words that the mix takes, repeats counted."""
+    found = materialized(groups(docs, seed, block_rows, fan_in), "mix-groups")
+    every = repeated(found, "n", "_number", _any_many(found, "n"))
+    copies = F.col("base") + (F.col("_number") < F.col("extra")).cast("long")
+    return every.select("doc_id", "rid", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 7, block_rows: int = 2_000, fan_in: int = 64) -> DataFrame:
+    """The mix itself: docs' rows, each as often as mix() takes it. Documents without words are left out. Of rows alike in id, text and source,
+    one (any) stands for all, also in the other columns."""
+    plan = groups(docs, seed, block_rows, fan_in).withColumn("_copies", F.col("n") * F.col("base") + F.col("extra")).where("_copies > 0")
+    plan = materialized(plan.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "rid", "source")), "_copies", (F.col("n") > 1).alias("_alike")), "mix-copies")
     same = F.xxhash64("text").eqNullSafe(F.col("_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = docs
-    if not plan.where("_alike > 1").limit(1).isEmpty():  # copies of rows alike in id, text and source were added up
-        rows = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash", "source"]).drop("_hash")
-    found = rows.join(maybe_broadcast(plan, 64), same)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    found = docs.join(maybe_broadcast(plan, 64), same)
+    if not plan.where("_alike").limit(1).isEmpty():
+        found = found.where("NOT _alike").union(found.where("_alike").dropDuplicates(["_doc_id", "_rid", "_source"]))
+    return repeated(found, "_copies", "_copy", _any_many(plan, "_copies")).select(*docs.columns)
