@@ -1,11 +1,12 @@
 """Token ids as Arrow IPC files of equal-length sequences with masks.
 
 Documents are laid end to end in ascending document id, an end id after each, and cut into sequences of fixed length. A file is an Arrow
-IPC file whose record batches hold a fixed-size list of ids and a fixed-size list of mask values (true: a real token, false: padding at the
-file's end). All batches but a file's last have equally many sequences, so sequence k sits in batch k // batch_rows at row k % batch_rows,
+IPC file whose record batches hold a fixed-size list of ids and a fixed-size list of mask values, a byte each (1: a real token, 0: padding at
+the file's end). All batches but a file's last have equally many sequences, so sequence k sits in batch k // batch_rows at row k % batch_rows,
 and a memory-mapped reader gets it without copying. A Parquet index maps each document to its file, offset and length.
 
-Defined cases: null text is empty (the end id alone); null ids sort first; rows of equal id sort by text; an empty table gives no files and
+Defined cases: null text is empty (the end id alone); null ids sort first; rows of equal id sort by text, and those whose
+texts also begin alike (RANGE_CHARS) share a file; an empty table gives no files and
 an empty index; other columns are ignored.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import committed_file, open_random, rows
 from orrery.llm.text_encoding import has_cut_safe_splitter, worker_encoder
 
+#: Texts order rows of one id; so many code points of them tell ranges apart, so that a null or repeated id is not one file.
+RANGE_CHARS = 32
 INDEX_SCHEMA = "file_no int, doc_id long, offset long, n_tokens long"
 
 
@@ -38,7 +41,7 @@ class _Packer:
         self.dtype, self.seq_len, self.batch_tokens = dtype, seq_len, seq_len * batch_rows
         value = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema(
-            [("input_ids", pa.list_(value, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))],
+            [("input_ids", pa.list_(value, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))],
             metadata={"seq_len": str(seq_len), "batch_rows": str(batch_rows)},
         )
         self.writer = pa.ipc.new_file(out, self.schema)
@@ -56,8 +59,8 @@ class _Packer:
             self.held, self.held_tokens = [flat[full:].tobytes()], len(flat) - full
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), bool)
-        mask[:real] = True
+        mask = np.zeros(len(flat), np.uint8)
+        mask[:real] = 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (flat, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -105,7 +108,7 @@ def write_sequences(docs: DataFrame, out_dir: str, tokenizer_json: str, end_id:
         yield from index
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = text.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{out_dir}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index")
 
@@ -123,9 +126,9 @@ class SequenceFile:
         return (n - 1) * self.batch_rows + self.reader.get_batch(n - 1).num_rows if n else 0
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence k; ids without a copy."""
+        """(ids, mask) of sequence k, both without a copy."""
         ids, mask = self.reader.get_batch(k // self.batch_rows).slice(k % self.batch_rows, 1).columns
-        return ids.flatten().to_numpy(), mask.flatten().to_numpy(zero_copy_only=False)
+        return ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=True)
 
     def tokens(self, start: int, count: int) -> np.ndarray:
         """A run of ids by its place in the file, across sequences."""
@@ -155,6 +158,7 @@ def document_digests(spark: SparkSession, out_dir: str) -> DataFrame:
                 crcs.append(zlib.crc32(opened[file_no].tokens(offset, n).astype("<u4").tobytes()))
             yield pa.record_batch([*(batch[c] for c in ("file_no", "doc_id", "offset", "n_tokens")), pa.array(crcs, pa.int64())], names=["file_no", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    ordered = index.repartition("file_no").sortWithinPartitions("file_no", "offset")
+    # As many tasks as files: the index is a few bytes a document, so sizes of its partitions would say nothing of the work.
+    ordered = index.repartitionByRange(max(1, totals.count()), "file_no").sortWithinPartitions("file_no", "offset")
     found = ordered.mapInArrow(digest, INDEX_SCHEMA + ", ids_crc32 long").join(bases, "file_no")
     return found.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

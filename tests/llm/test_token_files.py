@@ -31,6 +31,7 @@ def test_files_round_trip(prepared, edge_docs, tokenizer_json):
         assert len(file) == -(-total // 16)
         pieces = [file.sequence(k) for k in range(len(file))]
         assert all(len(i) == len(m) == 16 for i, m in pieces) and sum(int(m.sum()) for _, m in pieces) == total
+        assert all(m.dtype == np.uint8 and not m.flags.owndata and not i.flags.owndata for i, m in pieces)
         assert np.array_equal(np.concatenate([i for i, _ in pieces])[:total], file.tokens(0, total))
         seen += total
     assert seen == start
@@ -51,3 +52,19 @@ def test_pieces_encode_as_whole_texts(tokenizer_json):
         for text, ids in zip(texts[at : at + 300], encoder.encode(texts[at : at + 300]), strict=True):
             assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
     assert has_cut_safe_splitter(spec) and not has_cut_safe_splitter(tokenizer_json("word_bpe_49k.json"))
+
+
+def test_hot_id_is_many_files(prepared, tokenizer_json):
+    """Rows of a null id are dealt to ranges by their texts, in order; each file is read back by its own task."""
+    texts = [f"{k * 7919 % 400:03d} words of a row" for k in range(400)]
+    df = prepared.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    spec, out = tokenizer_json("byte_bpe_50k.json"), scratch_dir(prepared, "tokens")
+    files = {r.file_no for r in S.write_sequences(df, out, spec, end_id=2, seq_len=16).collect()}
+    assert len(files) > 1
+    digests = S.document_digests(prepared, out)
+    library, start, wanted = Tokenizer.from_str(spec), 0, []
+    for t in sorted(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        wanted.append((None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in digests.collect()), key=lambda r: r[1]) == wanted
