@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,11 +47,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a temporary one is set first.
-    Folders go at release_scratch() (unless keep) or at exit."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one is set first if the
+    master is local; a cluster has no folder that could be chosen for it, so there it raises. Folders go at release_scratch() (unless keep) or at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="orrery-")
         if not found.isDefined():
             spark.sparkContext.setCheckpointDir(base)
@@ -101,11 +104,15 @@ def materialized(df: DataFrame, name: str, parts: int | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def maybe_broadcast(df: DataFrame, bytes_a_row: int | Column) -> DataFrame:
-    """Mark a materialized table for broadcast if its size, counted from its rows, is under the limit; otherwise leave the join to Spark
-    (sort-merge, split where skewed). Rows that hold arrays are priced by a column of their sizes."""
+def fits_broadcast(df: DataFrame, bytes_a_row: int | Column) -> bool:
+    """Whether a materialized table's size, counted from its rows, is under the limit. Rows that hold arrays are priced by a column of their sizes."""
     size = df.agg(F.sum(bytes_a_row)).first()[0] or 0 if isinstance(bytes_a_row, Column) else df.count() * bytes_a_row
-    return F.broadcast(df) if size <= BROADCAST_LIMIT_BYTES else df
+    return size <= BROADCAST_LIMIT_BYTES
+
+
+def maybe_broadcast(df: DataFrame, bytes_a_row: int | Column) -> DataFrame:
+    """Mark a materialized table for broadcast if it fits; otherwise leave the join to Spark (sort-merge, split where skewed)."""
+    return F.broadcast(df) if fits_broadcast(df, bytes_a_row) else df
 
 
 def id_bucket(column: str, modulus: int) -> Column:

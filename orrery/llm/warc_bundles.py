@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import committed_file, materialized, maybe_broadcast, open_random, rows
+from orrery.llm.common import committed_file, fits_broadcast, materialized, open_random, rows
 
 # Fixed values of the public formats.
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -32,6 +32,8 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "1970-01-01T00:00:00Z"
 
+FRAMES_A_TASK = 256
+
 INDEX_SCHEMA = "record_id string, bundle string, frame int, offset long, length long"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -49,14 +51,19 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is null for responses.
 
     Groups that repeat are found on digests alone, with partial sums before the shuffle. They join back by broadcast when counted small,
-    else by a sort-merge join whose hot digests Spark splits."""
+    else by a sort-merge join whose hot digests Spark splits, from which payloads too small to be a revisit stay out."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     every = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     every = every.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     large = every.where(F.col("payload_bytes") >= min_revisit_bytes)
     groups = large.groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).where("n > 1 AND response_id IS NOT NULL")
     groups = materialized(groups.select("payload_digest", "payload_bytes", "response_id"), "payload-groups")
-    found = every.join(maybe_broadcast(groups, 80), ["payload_digest", "payload_bytes"], "left")
+    key = ["payload_digest", "payload_bytes"]
+    if fits_broadcast(groups, 80):
+        found = every.join(F.broadcast(groups), key, "left")
+    else:
+        small = every.where(F.col("payload_bytes") < min_revisit_bytes).withColumn("response_id", F.lit(None).cast("long"))
+        found = large.join(groups, key, "left").unionByName(small)
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     return found.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers_to.alias("refers_to"))
 
@@ -181,8 +188,13 @@ def parse_records(frame: bytes) -> Iterator[dict]:
 
 
 def read_bundles(spark: SparkSession, out_dir: str, with_payload: bool = True) -> DataFrame:
-    """Every record of every bundle; a task reads frames one by one through the seek table. Frames are dealt out evenly."""
-    frames = spark.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index").select("bundle", "frame").distinct()
+    """Every record of every bundle; a task reads frames one by one through the seek table. Runs of neighbouring frames are dealt out by their
+    count: to all cores, and more tasks where one would get more than FRAMES_A_TASK."""
+    index = spark.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index")
+    frames = materialized(index.select("bundle", "frame").distinct(), "frames")
+    count = frames.count()
+    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-count // FRAMES_A_TASK))))
+    frames = frames.repartitionByRange(tasks, "bundle", "frame")
     schema = RECORD_SCHEMA if with_payload else RECORD_SCHEMA.rpartition(",")[0]
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

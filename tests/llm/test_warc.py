@@ -37,3 +37,27 @@ def test_empty(prepared):
     out = scratch_dir(prepared, "warc")
     B.write_bundles(B.mark_revisits(pages, 1000), out)
     assert B.read_bundles(prepared, out).collect() == []
+
+
+def test_frames_use_all_tasks(prepared):
+    """Few bytes of index stand for many of payload: frames are dealt out by their number."""
+    pages = prepared.range(200).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id, repeat('x', 1500)) AS html")
+    out = scratch_dir(prepared, "warc")
+    index = B.write_bundles(B.mark_revisits(pages, 1000), out, frame_bytes=4000)
+    frames = index.select("bundle", "frame").distinct().count()
+    found = B.read_bundles(prepared, out, with_payload=False)
+    tasks = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    due = min(frames, prepared.sparkContext.defaultParallelism)
+    assert sum(tasks) == 200 and sum(n > 0 for n in tasks) >= 0.7 * due and max(tasks) <= 3 * 200 / due
+
+
+def test_groups_beyond_a_broadcast(prepared, monkeypatch):
+    """Other columns may bear the names of results; small payloads stay out of the join and are responses."""
+    from orrery.llm import common
+
+    rows = [(k, f"u{k}", "z" * (1500 if k % 3 else 20), "clash", "clash") for k in range(12)]
+    pages = prepared.createDataFrame(rows, "page_id long, url string, html string, payload_bytes string, refers_to string")
+    small = sorted(map(str, B.mark_revisits(pages, 1000).drop("payload").collect()))
+    monkeypatch.setattr(common, "BROADCAST_LIMIT_BYTES", 0)
+    assert sorted(map(str, B.mark_revisits(pages, 1000).drop("payload").collect())) == small
+    assert sum("refers_to=11" in r for r in small) == 7
