@@ -1,10 +1,12 @@
 """Document fingerprints: a Merkle tree over a text's paragraphs and sections, by DataFrame functions alone.
 
 A paragraph node hashes a piece of the text: up to the marks . ! ? or line breaks that end it, and at most PIECE_CHARS code points before
-them; the pieces together are the whole text. A section node hashes SECTION_PIECES paragraph nodes in a row, the root hashes the section nodes.
-The fingerprint reads `root:sections:paragraphs` in hexadecimal (32 digits for the root, 8 a node below it), so equal texts have equal roots,
-and where roots differ, differing sections and paragraphs locate the edit. The likeness of two fingerprints is 1 if their roots are equal,
-else the distinct paragraph nodes they share over all their distinct paragraph nodes.
+them; the pieces together are the whole text. A section node hashes a run of paragraph nodes that ends with the first node of a last digit in
+SECTION_ENDS (every eighth, on average): where a section ends depends on its pieces alone, so an inserted piece changes one section, not all later
+ones. The root hashes the section nodes. Nodes are MD5 hashes cut to NODE_DIGITS hexadecimal digits (64 bits) below the root, which has 32 digits
+and hashes uncut section hashes. The fingerprint reads `root:sections:paragraphs`, so equal texts have equal roots, and where roots differ, differing
+sections and in them differing paragraphs locate the edit. The likeness of two fingerprints is 1 if their roots are equal, else the distinct
+paragraph nodes they share over all their distinct paragraph nodes.
 
 Defined cases: null text is empty; an empty text has a root and no nodes, and is unlike any other; documents follow each other by doc_id, then
 text, nulls first, and the first follows the last; a single document follows itself; rows repeated whole follow each other; an empty table
@@ -20,30 +22,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIECE_CHARS = 128
-SECTION_PIECES = 8
+NODE_DIGITS = 16
+SECTION_ENDS = "01"
 PIECE = r"[^.!?\n]{0,%d}[.!?\n]+|[^.!?\n]{1,%d}" % (PIECE_CHARS, PIECE_CHARS)
 
 
-def _node(content: Column) -> Column:
-    return F.substring(F.md5(content.cast("binary")), 1, 8)
+def _hash(content: Column) -> Column:
+    return F.md5(content.cast("binary"))
 
 
 def paragraph_nodes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), _node)
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda piece: F.substring(_hash(piece), 1, NODE_DIGITS))
 
 
-def section_nodes(paragraphs: Column) -> Column:
-    last = F.floor((F.size(paragraphs) - 1) / SECTION_PIECES).cast("int")
-    found = F.transform(F.sequence(F.lit(0), last), lambda k: _node(F.array_join(F.slice(paragraphs, k * SECTION_PIECES + 1, SECTION_PIECES), "")))
-    return F.when(F.size(paragraphs) > 0, found).otherwise(F.array().cast("array<string>"))
+def section_runs(paragraphs: Column) -> Column:
+    """The paragraph nodes of each section, joined."""
+    ends = lambda node: F.substring(node, NODE_DIGITS, 1).isin(*SECTION_ENDS)
+    marked = F.array_join(F.transform(paragraphs, lambda node: F.when(ends(node), F.concat(node, F.lit(" "))).otherwise(node)), "")
+    return F.filter(F.split(marked, " "), lambda run: run != "")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the columns name (the fingerprint) and name_nodes (its paragraph nodes)."""
-    nodes, sections = f"{name}_nodes", f"{name}_sections"
+    """df with the columns name (the fingerprint), name_nodes (its paragraph nodes) and name_runs (those of each section, joined)."""
+    nodes, runs, hashes = f"{name}_nodes", f"{name}_runs", f"{name}_hashes"
     df = df.withColumn(nodes, paragraph_nodes(F.col(text)))
-    df = df.withColumn(sections, F.array_join(section_nodes(F.col(nodes)), ""))
-    return df.withColumn(name, F.concat_ws(":", F.md5(F.col(sections).cast("binary")), F.col(sections), F.array_join(nodes, ""))).drop(sections)
+    df = df.withColumn(runs, section_runs(F.col(nodes)))
+    df = df.withColumn(hashes, F.transform(runs, _hash))
+    sections = F.array_join(F.transform(hashes, lambda h: F.substring(h, 1, NODE_DIGITS)), "")
+    return df.withColumn(name, F.concat_ws(":", _hash(F.array_join(hashes, "")), sections, F.array_join(nodes, ""))).drop(hashes)
 
 
 def likeness(left: str, right: str) -> Column:
@@ -54,9 +60,16 @@ def likeness(left: str, right: str) -> Column:
 
 
 def differing_nodes(left: str, right: str) -> Column:
-    """Positions (from 0) of the paragraph nodes of left that right lacks: where left was edited."""
-    every = F.transform(F.col(f"{left}_nodes"), lambda node, k: F.when(~F.array_contains(f"{right}_nodes", node), k))
-    return F.filter(every, lambda k: k.isNotNull())
+    """Positions (from 0) of the paragraph nodes of left where it was edited: found by descending into the sections of left that right lacks,
+    and in them to the nodes that the sections of right that left lacks do not hold."""
+    a, b = F.col(f"{left}_runs"), F.col(f"{right}_runs")
+    nodes = lambda run: F.regexp_extract_all(run, F.lit("." * NODE_DIGITS), F.lit(0))
+    others = F.flatten(F.transform(F.array_except(b, a), nodes))
+    sizes = F.transform(a, lambda run: (F.length(run) / NODE_DIGITS).cast("int"))
+    first = F.transform(a, lambda run, k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda total, n: total + n))
+    places = lambda run, k: F.transform(nodes(run), lambda node, j: F.when(~F.array_contains(others, node), F.element_at(first, k + 1) + j))
+    apart = F.transform(a, lambda run, k: F.when(~F.array_contains(b, run), places(run, k)).otherwise(F.array().cast("array<int>")))
+    return F.filter(F.flatten(apart), lambda k: k.isNotNull())
 
 
 def _cuts_below(value: Column, cuts: list[int]) -> Column:
@@ -100,7 +113,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     df = df.withColumn("n_chars", n.cast("long"))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - replaced), F.substring("next_text", F.lit(1), replaced)))
     df = with_fingerprint(df, "text", "fingerprint")
-    df = df.withColumn("next", F.lead(F.struct("fingerprint", "fingerprint_nodes")).over(following)).where("halo = 0")
+    df = df.withColumn("next", F.lead(F.struct("fingerprint", "fingerprint_nodes")).over(following)).where("halo = 0").drop("fingerprint_runs")
     df = df.select("*", F.col("next.fingerprint").alias("next_fingerprint"), F.col("next.fingerprint_nodes").alias("next_fingerprint_nodes"))
     df = with_fingerprint(df.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "edited_fingerprint")
     near = [likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next")]

@@ -95,17 +95,18 @@ n AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars,
       FROM d),
 e AS (SELECT *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) AS edited FROM n),
 p AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-             list_transform(regexp_extract_all(text, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS a,
-             list_transform(regexp_extract_all(edited, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS b,
-             list_transform(regexp_extract_all(next_text, '{merkle.PIECE}'), lambda x: left(md5(x), 8)) AS c FROM e),
-s AS (SELECT *, COALESCE(array_to_string(list_transform(range(0, (len(a) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(a, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sa,
-                COALESCE(array_to_string(list_transform(range(0, (len(b) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(b, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sb,
-                COALESCE(array_to_string(list_transform(range(0, (len(c) + 7) // 8), lambda k: left(md5(array_to_string(list_slice(c, k * 8 + 1, k * 8 + 8), '')), 8)), ''), '') AS sc FROM p)
+             list_transform(regexp_extract_all(text, '{merkle.PIECE}'), lambda x: left(md5(x), {merkle.NODE_DIGITS})) AS a,
+             list_transform(regexp_extract_all(edited, '{merkle.PIECE}'), lambda x: left(md5(x), {merkle.NODE_DIGITS})) AS b,
+             list_transform(regexp_extract_all(next_text, '{merkle.PIECE}'), lambda x: left(md5(x), {merkle.NODE_DIGITS})) AS c FROM e),
+r AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(COALESCE(array_to_string(a, ','), ''), '([{merkle.SECTION_ENDS}])(,|$)', '\1;', 'g'), ';'), lambda x: x <> ''), lambda x: md5(replace(x, ',', ''))) AS ha,
+                list_transform(list_filter(string_split(regexp_replace(COALESCE(array_to_string(b, ','), ''), '([{merkle.SECTION_ENDS}])(,|$)', '\1;', 'g'), ';'), lambda x: x <> ''), lambda x: md5(replace(x, ',', ''))) AS hb,
+                list_transform(list_filter(string_split(regexp_replace(COALESCE(array_to_string(c, ','), ''), '([{merkle.SECTION_ENDS}])(,|$)', '\1;', 'g'), ';'), lambda x: x <> ''), lambda x: md5(replace(x, ',', ''))) AS hc FROM p),
+s AS (SELECT *, md5(COALESCE(array_to_string(ha, ''), '')) AS ra, md5(COALESCE(array_to_string(hb, ''), '')) AS rb, md5(COALESCE(array_to_string(hc, ''), '')) AS rc FROM r)
 SELECT doc_id, n_chars, edited_sha256,
-       md5(sa) || ':' || sa || ':' || COALESCE(array_to_string(a, ''), '') AS fingerprint,
-       md5(sb) || ':' || sb || ':' || COALESCE(array_to_string(b, ''), '') AS edited_fingerprint,
-       CASE WHEN md5(sa) = md5(sb) THEN 1.0 ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) END AS near_edited,
-       CASE WHEN md5(sa) = md5(sc) THEN 1.0 ELSE len(list_intersect(a, c)) / greatest(len(list_distinct(list_concat(a, c))), 1) END AS near_next
+       ra || ':' || COALESCE(array_to_string(list_transform(ha, lambda x: left(x, {merkle.NODE_DIGITS})), ''), '') || ':' || COALESCE(array_to_string(a, ''), '') AS fingerprint,
+       rb || ':' || COALESCE(array_to_string(list_transform(hb, lambda x: left(x, {merkle.NODE_DIGITS})), ''), '') || ':' || COALESCE(array_to_string(b, ''), '') AS edited_fingerprint,
+       CASE WHEN ra = rb THEN 1.0 ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) END AS near_edited,
+       CASE WHEN ra = rc THEN 1.0 ELSE len(list_intersect(a, c)) / greatest(len(list_distinct(list_concat(a, c))), 1) END AS near_next
 FROM s
 """
 

@@ -13,9 +13,14 @@ def md5(text):
 
 
 def fingerprint(text):
-    nodes = [md5(p)[:8] for p in PIECE.findall(text)]
-    sections = "".join(md5("".join(nodes[k : k + 8]))[:8] for k in range(0, len(nodes), 8))
-    return f"{md5(sections)}:{sections}:{''.join(nodes)}", set(nodes)
+    nodes = [md5(p)[:16] for p in PIECE.findall(text)]
+    runs = [""]
+    for n in nodes:
+        runs[-1] += n
+        if n[-1] in "01":
+            runs.append("")
+    hashes = [md5(r) for r in runs if r]
+    return f"{md5(''.join(hashes))}:{''.join(h[:16] for h in hashes)}:{''.join(nodes)}", set(nodes)
 
 
 def like(a, b):
@@ -54,6 +59,15 @@ def test_differing_nodes_locate_the_edit(prepared):
     assert df.select(M.differing_nodes("p", "q").alias("d")).first().d == [1]
 
 
+def test_an_insertion_changes_one_section(prepared):
+    """Section ends depend on content: a piece inserted in front leaves all sections but one alike, and the descent finds it."""
+    pieces = [f"piece number {k}." for k in range(400)]
+    rows = [("".join([*pieces[:at], " a new piece.", *pieces[at:]]), "".join(pieces), at) for at in (0, 57, 211, 400)]
+    df = M.with_fingerprint(M.with_fingerprint(prepared.createDataFrame(rows, "x string, y string, at int"), "x", "p"), "y", "q")
+    for r in df.select("at", M.differing_nodes("p", "q").alias("d"), F.size(F.array_except("p_runs", "q_runs")).alias("sections"), F.size("p_runs").alias("all")).collect():
+        assert r.d == [r.at] and r.sections <= 2 < r.all / 10
+
+
 def test_native_plan(edge_docs):
     plan = M.fingerprint_edits(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
