@@ -7,6 +7,7 @@ import contextlib
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -23,8 +24,9 @@ BROADCAST_LIMIT_BYTES = 24 * 2**20
 
 T = TypeVar("T")
 
-_scratch: list[tuple[SparkSession, str]] = []
-_kept: list[tuple[SparkSession, str]] = []
+#: Folders handed out: all of them, to delete at exit, and those of each thread, so that jobs side by side release their own only.
+_every: list[tuple[SparkSession, str]] = []
+_own = threading.local()
 
 
 #: Bytes of an Arrow batch between Spark and Python workers: texts differ by a factor of thousands, so a count of rows bounds nothing.
@@ -58,20 +60,29 @@ def scratch_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
         if not found.isDefined():
             spark.sparkContext.setCheckpointDir(base)
     out = f"{base.rstrip('/')}/orrery/{name}-{uuid.uuid4().hex}"
-    (_kept if keep else _scratch).append((spark, out))
+    _every.append((spark, out))
+    if not keep:
+        _thread_folders().append(out)
     return out
 
 
+def _thread_folders() -> list[str]:
+    if not hasattr(_own, "folders"):
+        _own.folders = []
+    return _own.folders
+
+
 def scratch_count() -> int:
-    return len(_scratch)
+    return len(_thread_folders())
 
 
 def release_scratch(spark: SparkSession, since: int) -> None:
-    """Delete the scratch folders handed out without keep since scratch_count() was this. DataFrames that read them must have been written."""
-    while len(_scratch) > since:
-        _, path = _scratch.pop()
+    """Delete the scratch folders that this thread was handed out without keep since scratch_count() was this. DataFrames that read them must
+    have been written."""
+    folders = _thread_folders()
+    while len(folders) > since:
         with contextlib.suppress(Exception):
-            delete_tree(spark, path)
+            delete_tree(spark, folders.pop())
 
 
 def delete_tree(spark: SparkSession, path: str) -> None:
@@ -82,7 +93,7 @@ def delete_tree(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _scratch + _kept:
+    for spark, path in _every:
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 delete_tree(spark, path)

@@ -52,9 +52,9 @@ def ranked(sources: DataFrame, parts: int) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, n_docs, target), a written table: sources may be as many as hosts. Sources whose share of what is left by weight
+    """(source, source_size, n_docs, target) for entries (source, size, n rows alike), a written table: sources may be as many as hosts. Sources whose share of what is left by weight
     exceeds MAX_REPEATS times their size stop there, until none does; the driver gets two sums a round."""
-    found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
+    found = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     found = materialized(found, "sources")
     parts = parts_for(found.count())
     found = materialized(ranked(found, parts).withColumn("weight", 1 + F.col("place") % 3), "weighed-sources", parts)

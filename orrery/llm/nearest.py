@@ -4,7 +4,8 @@ Rows are held in blocks of at most BLOCK_BYTES, scaled to length one. A block's
 random direction each, sorted. All blocks' arrays are built once and written; queries come in lots, and every lot is searched in every block.
 A query lays a window of the same width around its own value in every array; vectors inside are that array's
 collisions, and virtual rehashing widens all windows step by step, which only adds entries at their ends. A vector whose collisions reach the
-threshold becomes a candidate and is verified by its exact cosine. A query is done in a block when its windows are so wide that a vector nearer
+threshold becomes a candidate and is verified by its exact cosine. Windows start at a part of the k-th best distance
+known from other blocks or a few vectors of this one. A query is done in a block when its windows are so wide that a vector nearer
 than its k-th best so far, in this block or those that its task has searched before, would, but for a small chance, have collided often enough.
 
 Widths: for unit vectors at distance s, projections differ by s * |normal|, so the chance to collide in a window of half-width w is
@@ -32,15 +33,16 @@ from orrery.llm.common import materialized, rows, scratch_dir
 BLOCK_BYTES = 32 * 2**20
 #: Bytes of query vectors that one pass over the blocks carries to every task.
 QUERY_BYTES = 32 * 2**20
-PROJECTIONS = 128
-MISS = 0.05
+PROJECTIONS = 192
+MISS = 0.15
 _TIE = 1e-9
 #: Queries whose windows are looked up together.
 _TOGETHER = 128
 
-#: Distances at which the windows stop to verify, and the half-width of the windows in distances.
-_RADII = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.88, 0.96, 1.04, 1.12, 1.2, 1.3, 1.45, 1.6]
+#: Half-width of a window in distances, the factor by which a step widens it, and the first distance as a part of the k-th best known.
 _REACH = 1.15
+_STEP = 1.08
+_START = 0.75
 
 
 def _least_count(p: float) -> int:
@@ -77,9 +79,9 @@ def directions(dim: int) -> np.ndarray:
     return np.random.default_rng(dim).normal(size=(PROJECTIONS, dim))
 
 
-def block_rows(dim: int) -> int:
+def block_rows(dim: int, block_bytes: int) -> int:
     """Rows of a block: a row has its vector, its unit vector in work, its id, and a value and a 16-bit place in each array."""
-    return max(1, min(2**16, BLOCK_BYTES // (16 * dim + 8 + 6 * PROJECTIONS)))
+    return max(1, min(2**16, block_bytes // (16 * dim + 8 + 6 * PROJECTIONS)))
 
 
 class BlockIndex:
@@ -114,9 +116,19 @@ class BlockIndex:
         low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
         high = low.copy()
         counts, verified = [np.zeros(n, np.int64) for _ in range(m)], [np.zeros(n, bool) for _ in range(m)]
-        near, open_ = [np.sort(x)[-k:] for x in known], list(range(m))
-        for distance in _RADII:
-            reach = np.float32(_REACH * distance)
+        # A few vectors, verified at once, tell where windows can start: narrower ones would hardly find k vectors.
+        few = n // 64 + 1
+        rough = np.where(self.ids[:few, None] == own_ids, -np.inf, self.units[:few] @ units.T)
+        near, distance = [], np.full(m, 2.0)
+        for q in range(m):
+            verified[q][:few] = True
+            found = np.concatenate([known[q], rough[:, q][np.isfinite(rough[:, q])]])
+            near.append(np.partition(found, -k)[-k:] if len(found) > k else found)
+            if len(near[q]) == k:
+                distance[q] = _START * math.sqrt(max(2 - 2 * near[q].min(), 0.01))
+        open_ = list(range(m))
+        while open_:
+            reach = (_REACH * distance[open_]).astype(np.float32)
             a = np.array([np.searchsorted(v, c - reach) for v, c in zip(self.values, centre[:, open_], strict=True)])
             b = np.array([np.searchsorted(v, c + reach) for v, c in zip(self.values, centre[:, open_], strict=True)])
             left = []
@@ -131,11 +143,14 @@ class BlockIndex:
                 near[q] = np.concatenate([near[q], (self.units[fresh] @ units[q])[self.ids[fresh] != own_ids[q]]])
                 if len(near[q]) > k:
                     near[q] = np.partition(near[q], -k)[-k:]
-                if len(near[q]) < k or near[q].min() < 1 - distance * distance / 2:
-                    left.append(q)
+                if len(near[q]) == k and near[q].min() >= 1 - distance[q] ** 2 / 2:
+                    continue
+                if distance[q] >= 2:  # no two unit vectors are further apart
+                    verified[q][:] = True
+                    continue
+                distance[q] = min(2.0, distance[q] * _STEP)
+                left.append(q)
             open_ = left
-        for q in open_:
-            verified[q][:] = True  # the windows span everything
         return [np.flatnonzero(v) for v in verified]
 
 
@@ -151,7 +166,7 @@ def written_index(base: DataFrame) -> DataFrame:
         def built(dim: int) -> pa.RecordBatch:
             parts = held.pop(dim)
             ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            now = block_rows(dim)
+            now = block_rows(dim, limit)
             if len(ids) > now:
                 held[dim] = [(ids[now:], vectors[now:])]
             block = BlockIndex(ids[:now], vectors[:now])
@@ -164,17 +179,17 @@ def written_index(base: DataFrame) -> DataFrame:
                 own = np.flatnonzero(dims == dim)
                 flat = batch["v"].take(pa.array(own)).flatten().to_numpy()
                 held.setdefault(dim, []).append((ids[own], flat.reshape(-1, dim).copy()))
-                while dim in held and sum(len(p[0]) for p in held[dim]) >= block_rows(dim):
+                while dim in held and sum(len(p[0]) for p in held[dim]) >= block_rows(dim, limit):
                     yield built(dim)
-            while sum(p[1].nbytes for parts in held.values() for p in parts) > BLOCK_BYTES:  # many dimensions, none of which fills a block
+            while sum(p[1].nbytes for parts in held.values() for p in parts) > limit:  # many dimensions, none of which fills a block
                 yield built(max(held, key=lambda dim: sum(p[1].nbytes for p in held[dim])))
         while held:
             yield built(next(iter(held)))
 
-    names = [x.split()[0] for x in _INDEX.split(", ")]
+    names, limit = [x.split()[0] for x in _INDEX.split(", ")], BLOCK_BYTES
     spark = base.sparkSession
     size = base.agg(F.sum(F.col("dim") * 16 + 6 * PROJECTIONS)).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // limit))
     return materialized(base.coalesce(parts).mapInArrow(run, _INDEX), "nearest-index")
 
 

@@ -59,7 +59,11 @@ def test_hot_id_is_many_files(prepared, tokenizer_json):
     texts = [f"{k * 7919 % 400:03d} words of a row" for k in range(400)]
     df = prepared.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
     spec, out = tokenizer_json("byte_bpe_50k.json"), scratch_dir(prepared, "tokens")
-    files = {r.file_no for r in S.write_sequences(df, out, spec, end_id=2, seq_len=16).collect()}
+    prepared.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would else be one partition
+    try:
+        files = {r.file_no for r in S.write_sequences(df, out, spec, end_id=2, seq_len=16).collect()}
+    finally:
+        prepared.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files) > 1
     digests = S.document_digests(prepared, out)
     library, start, wanted = Tokenizer.from_str(spec), 0, []
