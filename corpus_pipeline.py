@@ -6,6 +6,8 @@ return the columns of documents (doc_id, text, lang, source, n_chars). A stage f
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles alike by 0.8 or more) stays, that of the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles alike by 0.8 or more) stays, that of the smallest doc_id: SimHash at a similarity."""
     _begin(spark)
     return near_copies.keep_one(docs).select(*COLUMNS)
 
@@ -58,20 +60,20 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Language models, fingerprint components and byte-pair merges are beyond SQL; tests/llm holds each stage against a brute-force version.
+#: Language models, fingerprint components and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-_stage_began_at = 0
+#: Of each thread, so that pipelines side by side leave each other's folders alone.
+_stage = threading.local()
 
 
 def _begin(spark: SparkSession, first: bool = False) -> None:
     """Delete what the stage before this one left in scratch folders; it has been written by now."""
-    global _stage_began_at
     ship_package(spark)
     if not first:
-        release_scratch(spark, _stage_began_at)
-    _stage_began_at = scratch_count()
+        release_scratch(spark, getattr(_stage, "began_at", 0))
+    _stage.began_at = scratch_count()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
