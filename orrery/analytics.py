@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n_rows, n_distinct, null_fraction, least, greatest) a column, bounds as text; one pass over the named columns for counts and bounds."""
+    """(column_name, n_rows, n_distinct, null_fraction, least, greatest) a column, bounds as text; one aggregate, whose one row is turned into one a column."""
 
     def figures(c: str):
         n = F.count("*")
@@ -19,4 +17,4 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
         )
 
     one = df.select(*columns).agg(*(figures(c).alias(f"s{k}") for k, c in enumerate(columns)))
-    return reduce(DataFrame.union, [one.select(f"s{k}.*") for k in range(len(columns))])
+    return one.select(F.inline(F.array(*(f"s{k}" for k in range(len(columns))))))

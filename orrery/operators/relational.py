@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.status import unsupported
+
 
 def point_lookup(df: DataFrame, column: str, key: object) -> DataFrame:
     """Rows with this key: a filter that reaches the scan, where row groups are skipped by their statistics."""
@@ -39,8 +41,19 @@ def ordered(df: DataFrame, keys: Sequence[tuple[Column, bool]]) -> DataFrame:
 
 
 def limited(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
-    """Spark counts both in 32 bits; no result that is fetched has more rows than that."""
+    """Spark counts both in 32 bits. Beyond that the rows are counted first: a limit that they do not reach is none, an offset behind them all
+    leaves nothing, and what cannot be expressed is an error, never a wrong result."""
     most = 2**31 - 1
+    if offset > most or (limit or 0) > most:
+        rows = df.count()
+        if offset >= rows:
+            offset, limit = 0, 0
+        elif offset > most:
+            raise unsupported(f"an OFFSET beyond {most}")
+        elif limit is not None and limit > most:
+            if limit < rows - offset:
+                raise unsupported(f"a LIMIT beyond {most}")
+            limit = None
     if offset:
-        df = df.offset(min(offset, most))
-    return df if limit is None else df.limit(min(limit, most))
+        df = df.offset(offset)
+    return df if limit is None else df.limit(limit)

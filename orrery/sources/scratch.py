@@ -1,7 +1,8 @@
-"""Places for databases that live for one session: under the folder that driver and executors share, else a temporary one."""
+"""Places for databases that live for one session: under the folder that driver and executors share; a local master may do with a temporary one."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,5 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="orrery-db-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="orrery-db-")
     return f"{base.rstrip('/')}/databases/{uuid.uuid4().hex}"

@@ -5,15 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.sources.manifest import Table
 
 #: Identity of a row, which an update keeps; the batch that wrote this version of it; the version that a batch replaces.
 RID, SEQUENCE, WAS = "_rid", "_seq", "_was"
 ROWS_A_BATCH_FILE = 1_000_000
+#: So many small batches of one level are merged into one of the next; a level is the last part of a batch's name.
+MERGE_BATCHES = 16
 
 
 def stored_schema(table: Table) -> T.StructType:
@@ -43,20 +47,34 @@ class Store:
 
     def append(self, table: Table, rows: Sequence[Sequence[object]], first_rid: int, sequence: int) -> str:
         """Write literal rows as one batch."""
-        name = self.new_name(table, sequence)
-        data = [(first_rid + k, sequence, None, *r) for k, r in enumerate(rows)]
-        parts = max(1, -(-len(data) // ROWS_A_BATCH_FILE))
+        name = f"{self.new_name(table, sequence)}-L0"
+        schema = to_arrow_schema(stored_schema(table))
+        columns = [range(first_rid, first_rid + len(rows)), [sequence] * len(rows), [None] * len(rows), *zip(*rows, strict=True)]
+        data = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        parts = max(1, -(-len(rows) // ROWS_A_BATCH_FILE))
         self.spark.createDataFrame(data, stored_schema(table)).coalesce(parts).write.parquet(f"{self.data_uri}/{name}")
         return name
 
-    def append_frame(self, table: Table, rows: DataFrame, first_rid: int, sequence: int) -> tuple[str, int]:
-        """Write a DataFrame's rows (columns by position) as one batch: (name, rids used). Rids are distinct, not dense."""
+    @staticmethod
+    def level(name: str) -> int | None:
+        last = name.rpartition("-")[2]
+        return int(last[1:]) if last.startswith("L") else None
+
+    def merged(self, table: Table, names: Sequence[str], sequence: int, level: int) -> str:
+        """The row versions of several batches of inserted rows as one, removed ones among them: removals name them by identity and batch."""
+        name = f"{self.new_name(table, sequence)}-L{level}"
+        found = self.spark.read.schema(stored_schema(table)).parquet(*(f"{self.data_uri}/{n}" for n in names))
+        found.coalesce(1 if level < 3 else len(names)).write.parquet(f"{self.data_uri}/{name}")
+        return name
+
+    def append_frame(self, table: Table, rows: DataFrame, first_rid: int, sequence: int) -> tuple[str, int, int]:
+        """Write a DataFrame's rows (columns by position) as one batch: (name, rids used, rows). Rids are distinct, not dense."""
         name = self.new_name(table, sequence)
         plain = rows.toDF(*(f"c{k}" for k in range(len(table.columns))))
         hidden = [(F.monotonically_increasing_id() + first_rid).alias(RID), F.lit(sequence).cast("long").alias(SEQUENCE), F.lit(None).cast("long").alias(WAS)]
         plain.select(*hidden, *(F.col(f"c{k}").cast(c.spark_type) for k, c in enumerate(table.columns))).write.parquet(f"{self.data_uri}/{name}")
-        most = self.spark.read.schema(f"{RID} long").parquet(f"{self.data_uri}/{name}").agg(F.max(RID)).first()[0]
-        return name, 0 if most is None else most - first_rid + 1
+        most, n = self.spark.read.schema(f"{RID} long").parquet(f"{self.data_uri}/{name}").agg(F.max(RID), F.count("*")).first()
+        return name, 0 if most is None else most - first_rid + 1, n
 
     def rewrite(self, table: Table, matched: DataFrame, images: dict[int, Column], sequence: int) -> str:
         """New versions of the matched rows, right sides read from the old ones; the batch also names the versions it replaces."""

@@ -133,12 +133,35 @@ def test_lock_timeout(one, monkeypatch):
     one.rollback()
 
 
-def test_many_rows_lock_the_table(one, monkeypatch):
-    monkeypatch.setattr("orrery.database.ROW_LOCKS_A_STATEMENT", 1)
+def test_many_rows_conflict_by_row(one, monkeypatch):
+    """Statements whose rows are not held in memory: disjoint ones commit, a shared row makes the later one wait or abort."""
+    monkeypatch.setattr("orrery.database.ROWS_IN_MEMORY", 1)
+    ok(one, "INSERT INTO t VALUES (3, 0), (4, 0)")
+    one.begin_transaction()
+    ok(one, "UPDATE t SET v = 1 WHERE id < 3")
+    in_thread(lambda: ok(one, "UPDATE t SET v = 2 WHERE id > 2"))  # while the other's rows are locked
+    assert one.commit().ok
+    assert sorted(rows(one, "SELECT * FROM t")) == [(1, 1), (2, 1), (3, 2), (4, 2)]
     one.begin_transaction()
     in_thread(lambda: ok(one, "UPDATE t SET v = 5"))
     assert one.execute("DELETE FROM t WHERE id = 2").code is StatusCode.ABORTED
     one.rollback()
+    monkeypatch.setattr("orrery.transactions.LOCK_TIMEOUT_SECONDS", 2)
+    one.begin_transaction()
+    ok(one, "UPDATE t SET v = 7 WHERE id < 4")
+    assert in_thread(lambda: one.execute("DELETE FROM t WHERE id > 2").code) is StatusCode.TIMEOUT
+    assert one.rollback().ok
+    assert sorted(rows(one, "SELECT v FROM t")) == [(5,)] * 4
+
+
+def test_isolation_levels(one):
+    from orrery.transactions import IsolationLevel
+
+    for level in IsolationLevel:
+        assert one.begin_transaction(level).ok
+        assert len(rows(one, "SELECT * FROM t")) == 2
+        assert one.rollback().ok
+    assert [level.name for level in IsolationLevel] == ["READ_UNCOMMITTED", "READ_COMMITTED", "REPEATABLE_READ", "SERIALIZABLE"]
 
 
 def test_abandoned_threads_are_rolled_back(one):
