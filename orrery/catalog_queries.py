@@ -26,7 +26,7 @@ _NULLED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_cus
 class Tables(Mapping):
     """The Parquet tables of a folder, read when named; nulled is orders with nulls."""
 
-    names = "region nation customer supplier part orders lineitem events nulled".split()
+    names = "region nation customer supplier part orders lineitem events nulled lineitem_keys".split()
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -34,6 +34,8 @@ class Tables(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.names:
             raise KeyError(name)
+        if name == "lineitem_keys":
+            return self["lineitem"].select(F.col("l_orderkey").alias("k"), F.lit(0).alias("v"))
         if name != "nulled":
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         key, orders = F.col("o_orderkey"), self["orders"]
@@ -101,6 +103,13 @@ _sql("join_residual_where", "SELECT o_orderkey, l_linenumber FROM orders JOIN li
 _sql("join_null_keys", "SELECT a.o_orderkey AS o, c_name FROM nulled a LEFT JOIN customer ON a.k = c_custkey")
 _sql("join_mixed_widths", "SELECT o_orderkey, n_name FROM orders JOIN nation ON o_orderkey = n_nationkey")
 
+# Without an equality: nested loops over the smaller side
+_sql("join_inner_theta", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey AND s_acctbal > 9000.0")
+_sql("join_left_theta", "SELECT s_suppkey, r_regionkey FROM supplier LEFT JOIN region ON s_nationkey < r_regionkey")
+_sql("join_right_theta", "SELECT r_name, n_name FROM region RIGHT JOIN nation ON n_nationkey < r_regionkey AND r_name > n_name")
+_sql("join_left_constant", "SELECT n_name, r_name FROM nation LEFT JOIN region ON 1 = 0")
+_sql("join_null_theta", "SELECT a.o_orderkey AS o, n_nationkey FROM nulled a LEFT JOIN nation ON a.k < n_nationkey")
+
 # Aggregates
 _sql("agg_count_star", "SELECT COUNT(*) AS n FROM lineitem")
 _sql("agg_count_col", "SELECT o_orderstatus, COUNT(k) AS nk, COUNT(price) AS np FROM nulled GROUP BY o_orderstatus")
@@ -110,6 +119,8 @@ _sql("agg_avg_int", "SELECT l_returnflag, AVG(l_partkey) AS a, AVG(l_linenumber)
 _sql("agg_avg_double", "SELECT l_linestatus, AVG(l_extendedprice) AS a FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus, round(AVG(l_extendedprice), 6) AS a FROM lineitem GROUP BY l_linestatus", {"a": 6})
 _sql("agg_min_max", "SELECT MIN(l_shipdate) AS d0, MAX(l_shipdate) AS d1, MIN(l_extendedprice) AS p0, MAX(l_partkey) AS k1 FROM lineitem")
 _sql("agg_min_max_string", "SELECT c_mktsegment, MIN(c_name) AS lo, MAX(c_name) AS hi FROM customer GROUP BY c_mktsegment")
+_sql("agg_default_names", "SELECT COUNT(*), COUNT(k), SUM(o_orderkey), MIN(o_orderstatus), AVG(k) FROM nulled", 'SELECT COUNT(*) AS "count(*)", COUNT(k) AS "count(k)", CAST(SUM(o_orderkey) AS BIGINT) AS "sum(o_orderkey)", MIN(o_orderstatus) AS "min(o_orderstatus)", AVG(k) AS "avg(k)" FROM nulled')
+_sql("comments_and_escapes", "-- a comment\nSELECT c_custkey, 'it''s -- no; comment' AS q FROM customer WHERE c_mktsegment <> 'a''b' /* another; one */ AND c_custkey <= 20;", "SELECT c_custkey, 'it''s -- no; comment' AS q FROM customer WHERE c_custkey <= 20")
 _sql("agg_global_empty", "SELECT COUNT(*) AS n, SUM(o_custkey) AS s, AVG(o_custkey) AS a, MIN(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0", "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, AVG(o_custkey) AS a, MIN(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0")
 _sql("group_multi", "SELECT l_linestatus, COUNT(*) AS n, l_returnflag AS flag, MAX(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_linestatus, COUNT(*) AS n, l_returnflag AS flag, MAX(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
 _sql("group_null_key", "SELECT k, COUNT(*) AS n FROM nulled GROUP BY k")
@@ -117,8 +128,8 @@ _sql("group_no_agg", "SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY
 _sql("flagship", _FLAGSHIP, "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS s, round(AVG(l_quantity), 8) AS aq FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag, l_linestatus", {"aq": 8})
 
 # Order and limits; every order is total before a limit
-_sql("sort_multi", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 50", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey NULLS FIRST LIMIT 50")
-_sql("sort_nulls", "SELECT k, o_orderkey FROM nulled ORDER BY k, o_orderkey LIMIT 2500", f"SELECT k, o_orderkey FROM {_NULLED} ORDER BY k NULLS FIRST, o_orderkey NULLS FIRST LIMIT 2500")
+_sql("sort_multi", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_custkey", "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey NULLS FIRST")
+_sql("sort_nulls", "SELECT k, o_orderkey FROM nulled ORDER BY k, o_orderkey", f"SELECT k, o_orderkey FROM {_NULLED} ORDER BY k NULLS FIRST, o_orderkey NULLS FIRST")
 _sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS FIRST LIMIT 10")
 _sql("limit_offset", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 7 OFFSET 20")
 _sql("limit_zero", "SELECT p_partkey FROM part LIMIT 0")
@@ -238,6 +249,169 @@ def unique_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["unique_violation"] = "SELECT CAST(0 AS INTEGER) AS step, 'ok' AS outcome UNION ALL SELECT 1, CASE WHEN EXISTS (SELECT 1 FROM nation GROUP BY n_regionkey HAVING COUNT(*) > 1) THEN 'already exists' ELSE 'ok' END UNION ALL SELECT 2, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3) THEN 'already exists' ELSE 'ok' END"
 
 
+@_made
+def sum_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer sums wrap at 64 bits; their addends reach them unharmed."""
+    big = Tables(spark, sf_dir)["orders"].select("o_orderstatus", (F.lit(2**62) + F.col("o_orderkey")).alias("v"))
+    return select("SELECT o_orderstatus, SUM(v) AS s FROM big GROUP BY o_orderstatus", {"big": big})
+
+
+_WIDE = "SUM(CAST(4611686018427387904 + o_orderkey AS HUGEINT))"
+ORACLE_SQL["sum_wraps"] = f"SELECT o_orderstatus, CAST(CASE WHEN m >= 9223372036854775808 THEN m - 18446744073709551616 ELSE m END AS BIGINT) AS s FROM (SELECT o_orderstatus, (({_WIDE} % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS m FROM orders GROUP BY o_orderstatus)"
+
+
+@_made
+def narrow_store_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers too wide for their column keep their low bits."""
+    db = Database(scratch_path(spark), spark)
+    _must(db.execute("CREATE TABLE narrow (id BIGINT, t TINYINT, s SMALLINT, i INTEGER)"))
+    _must(db.load("narrow", Tables(spark, sf_dir)["orders"].select("o_orderkey", F.lit(0), F.lit(0), F.lit(0))))
+    _must(db.execute("UPDATE narrow SET t = id * 3, s = id * 70001, i = id * 3000000001"))
+    return db.dataframe("SELECT * FROM narrow")
+
+
+def _low_bits(value: str, bits: int, sql_type: str) -> str:
+    return f"CAST(((CAST({value} AS HUGEINT) + {2 ** (bits - 1)}) % {2**bits}) - {2 ** (bits - 1)} AS {sql_type})"
+
+
+ORACLE_SQL["narrow_store_wraps"] = f"SELECT o_orderkey AS id, {_low_bits('o_orderkey * 3', 8, 'TINYINT')} AS t, {_low_bits('o_orderkey * 70001', 16, 'SMALLINT')} AS s, {_low_bits('o_orderkey * 3000000001', 32, 'INTEGER')} AS i FROM orders"
+
+
+def _codes(db: Database, *statements: str) -> list[str]:
+    return [db.execute(s).code.value for s in statements]
+
+
+def _steps(spark: SparkSession, codes: list[str]) -> DataFrame:
+    return spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "step int, outcome string")
+
+
+def _steps_sql(*codes: str) -> str:
+    """Outcomes that tables cannot tell: where it can, a code is an expression."""
+    parts = [c if c.startswith("CASE") else f"'{c}'" for c in codes]
+    return " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, {c} AS outcome" for k, c in enumerate(parts))
+
+
+@_made
+def drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped table's name is free again, for other columns and rows; its indexes are gone."""
+    db = _database(spark, sf_dir, "nation", "region")
+    for s in ("CREATE INDEX i ON region (r_regionkey)", "DROP TABLE region", "CREATE TABLE region (r_name VARCHAR(20))", "CREATE INDEX i ON region (r_name)"):
+        _must(db.execute(s))
+    _must(db.load("region", Tables(spark, sf_dir)["region"].where("r_regionkey > 1").select("r_name")))
+    return db.dataframe("SELECT * FROM region")
+
+
+ORACLE_SQL["drop_table"] = "SELECT r_name FROM region WHERE r_regionkey > 1"
+
+
+@_made
+def definition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _database(spark, sf_dir, "region")
+    return _steps(spark, _codes(db, "DROP TABLE nothing", "CREATE INDEX i ON region (r_name)", "CREATE INDEX i ON region (r_regionkey)", "DROP INDEX i ON region", "DROP INDEX i", "CREATE TABLE region (a INTEGER)", "DROP TABLE region", "SELECT * FROM region"))
+
+
+ORACLE_SQL["definition_outcomes"] = _steps_sql("not found", "ok", "already exists", "ok", "not found", "already exists", "ok", "not found")
+
+
+@_made
+def index_follows_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups through an indexed column after inserts, updates and deletes."""
+    db = _database(spark, sf_dir, "customer")
+    for s in ("CREATE INDEX i ON customer (c_nationkey)", "UPDATE customer SET c_nationkey = 77 WHERE c_custkey < 50", "DELETE FROM customer WHERE c_custkey < 10", "INSERT INTO customer (c_custkey, c_nationkey) VALUES (-1, 77)"):
+        _must(db.execute(s))
+    return db.dataframe("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 77")
+
+
+ORACLE_SQL["index_follows_changes"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 10 AND 49 UNION ALL SELECT -1, NULL"
+
+
+@_made
+def strict_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals in and out of their column's range, without and with strict mode; what was stored follows from the last step."""
+    codes = []
+    for strict in (False, True):
+        with Database(scratch_path(spark), spark, strict_mode=strict) as db:
+            codes += _codes(db, "CREATE TABLE t (i INTEGER, v VARCHAR(9))", "INSERT INTO t VALUES (3000000000, 'a')", "INSERT INTO t VALUES ('x', 'a')", "INSERT INTO t VALUES (1, 2)", "INSERT INTO t VALUES (1, 'ok')")
+    return _steps(spark, codes)
+
+
+ORACLE_SQL["strict_outcomes"] = _steps_sql("ok", "ok", *["invalid argument"] * 2, "ok", "ok", *["invalid argument"] * 3, "ok")
+
+
+@_made
+def txn_poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement that fails inside a transaction fails all later ones, and its commit; nothing of it stays."""
+    db = _database(spark, sf_dir, "region")
+    codes = [db.begin_transaction().code.value, *_codes(db, "DELETE FROM region", "SELECT nothing FROM region", "SELECT * FROM region"), db.commit().code.value]
+    left = _must(db.execute("SELECT COUNT(*) FROM region")).scalar()
+    return _steps(spark, [*codes, str(left)])
+
+
+ORACLE_SQL["txn_poisoned"] = _steps_sql("ok", "ok", "invalid argument", "aborted", "aborted") + " UNION ALL SELECT 5, CAST(COUNT(*) AS VARCHAR) FROM region"
+
+
+@_made
+def txn_deadlock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transactions that wait for each other's row: the younger one is aborted, the older one's changes stay."""
+    db = _database(spark, sf_dir, "region")
+    _must(db.begin_transaction())
+    _must(db.execute("UPDATE region SET r_name = 'older' WHERE r_regionkey = 0"))
+    held, codes = threading.Event(), []
+
+    def younger() -> None:
+        _must(db.begin_transaction())
+        _must(db.execute("UPDATE region SET r_name = 'younger' WHERE r_regionkey = 1"))
+        held.set()
+        codes.append(db.execute("UPDATE region SET r_name = 'younger' WHERE r_regionkey = 0").code.value)
+        db.rollback()
+
+    other = threading.Thread(target=younger)
+    other.start()
+    held.wait(60)
+    _must(db.execute("UPDATE region SET r_name = 'older' WHERE r_regionkey = 1"))
+    other.join()
+    _must(db.commit())
+    return db.dataframe("SELECT r_regionkey, r_name FROM region").withColumn("outcome", F.lit(codes[0]))
+
+
+ORACLE_SQL["txn_deadlock"] = "SELECT r_regionkey, CASE WHEN r_regionkey < 2 THEN 'older' ELSE r_name END AS r_name, 'aborted' AS outcome FROM region"
+
+
+@_made
+def txn_many_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two open transactions change different halves of a table, however many rows; both commit."""
+    db = _database(spark, sf_dir, "lineitem_keys")
+    _must(db.begin_transaction())
+    _must(db.execute("UPDATE lineitem_keys SET v = 1 WHERE k <= 5000"))
+    other = threading.Thread(target=lambda: _must(db.execute("UPDATE lineitem_keys SET v = 2 WHERE k > 5000")))
+    other.start()
+    other.join()
+    _must(db.commit())
+    return db.dataframe("SELECT v, COUNT(*) AS n FROM lineitem_keys GROUP BY v")
+
+
+ORACLE_SQL["txn_many_rows"] = "SELECT CAST(CASE WHEN l_orderkey <= 5000 THEN 1 ELSE 2 END AS INTEGER) AS v, COUNT(*) AS n FROM lineitem GROUP BY 1"
+
+
+@_made
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another Database object finds at the path after commits, a rollback, a compaction and a close."""
+    path = scratch_path(spark)
+    with Database(path, spark) as db:
+        _must(db.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name VARCHAR(25), n_regionkey INTEGER)"))
+        _must(db.load("nation", Tables(spark, sf_dir)["nation"]))
+        _must(db.execute("DELETE FROM nation WHERE n_regionkey = 2"))
+        _must(db.begin_transaction())
+        _must(db.execute("DELETE FROM nation"))
+        _must(db.rollback())
+        _must(db.compact("nation"))
+        _must(db.execute("UPDATE nation SET n_regionkey = 7 WHERE n_regionkey = 3"))
+    return Database(path, spark, create_if_missing=False).dataframe("SELECT * FROM nation")
+
+
+ORACLE_SQL["reopened"] = "SELECT n_nationkey, n_name, CAST(CASE WHEN n_regionkey = 3 THEN 7 ELSE n_regionkey END AS INTEGER) AS n_regionkey FROM nation WHERE n_regionkey <> 2"
+
+
 @_made
 def explain_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _database(spark, sf_dir, "nation", "supplier")
@@ -273,6 +447,24 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS = f"(SELECT event_id, value, event_type AS schedule, {_OUTCOME} AS outcome, CAST(user_id % 4 AS INTEGER) AS faults_injected FROM events)"
 
 
+@_made
+def runlog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs written as JSON lines to two folders, read back and merged in their order."""
+    base = scratch_path(spark)
+    runs = Tables(spark, sf_dir)["events"].select(
+        F.col("event_id").alias("seed"), F.col("event_type").alias("schedule"), (F.col("user_id") % 4).cast("int").alias("faults_injected"), F.lit("").alias("crash_point"),
+        F.when(F.col("event_type") == "error", "error").otherwise("pass").alias("outcome"), F.array(F.col("event_type")).alias("invariants_failed"),
+        *(F.lit(0).cast("long").alias(c) for c in ("ops", "redo_ops", "undo_ops")), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("recovery_ms"),
+    )
+    paths = [f"{base}-even", f"{base}-odd"]
+    for k, path in enumerate(paths):
+        run_logs.write(runs.where(F.col("seed") % 2 == k), path)
+    return run_logs.merge(spark, paths).select("source_no", "seed", "schedule", "faults_injected", "outcome", F.col("invariants_failed")[0].alias("failed"), F.round("recovery_ms", 6).alias("recovery_ms"))
+
+
+ORACLE_SQL["runlog_files"] = "SELECT CAST(event_id % 2 AS INTEGER) AS source_no, event_id AS seed, event_type AS schedule, CAST(user_id % 4 AS INTEGER) AS faults_injected, CASE WHEN event_type = 'error' THEN 'error' ELSE 'pass' END AS outcome, event_type AS failed, CASE WHEN event_id % 3 <> 0 THEN round(value, 6) END AS recovery_ms FROM events"
+
+
 @_made
 def runlog_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_logs.outcome_counts(_runs(spark, sf_dir))
