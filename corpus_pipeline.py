@@ -16,14 +16,19 @@ from orrery.llm.common import release_scratch, scratch_count, scratch_dir, ship_
 from orrery.llm.queries import tokenizer_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Score from which a predicted language outweighs the one given.
+SURE = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language (null, or no letter) go; a missing lang is filled in from the text."""
+    """Documents without an identifiable language go: text null, without a letter, or with a score below that of an even guess among the
+    languages learned. lang becomes the prediction where it is missing or the score is SURE or more."""
     _begin(spark, first=True)
     model = language_id.fit(docs, train=F.lit(True))
-    found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    guess = 1 / max(1, sum(map(len, model.members.values())))
+    found = language_id.identify(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= guess))
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", lang).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
