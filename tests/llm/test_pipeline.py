@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -34,10 +36,19 @@ def test_stages_on_edges(prepared, edge_docs, empty_docs, tmp_path):
         if name != "bpe":
             assert empty.columns == C.COLUMNS and stage(prepared, edge_docs.select(*C.COLUMNS), SF).columns == C.COLUMNS
     kept = C.identify_language(prepared, edge_docs.select(*C.COLUMNS), SF).collect()
-    assert {r.doc_id for r in kept if r.text} == {r.doc_id for r in edge_docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    lettered = {r.doc_id for r in edge_docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert lettered - {9, 11, 12} <= {r.doc_id for r in kept} <= lettered  # junk may have a score below a guess
     assert all(r.lang is not None for r in kept)
 
 
+def test_language_decisions(prepared, empty_docs):
+    """A sure prediction replaces a wrong lang, a missing one is filled in, a guess leaves the given one; no clean document goes."""
+    docs = prepared.read.parquet(f"{SF}/documents.parquet")
+    wrong = docs.where("n_chars > 600").withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "es").when(F.col("doc_id") % 20 == 1, None).otherwise(F.col("lang")))
+    right, found = {r.doc_id: r.lang for r in docs.collect()}, C.identify_language(prepared, wrong, SF).collect()
+    assert len(found) == wrong.count() and np.mean([r.lang == right[r.doc_id] for r in found]) > 0.97
+
+
 def test_run(prepared, tmp_path, tokenizer_json):
     """Each stage over the table that its predecessor kept, against a plain version."""
     docs = prepared.read.parquet(f"{SF}/documents.parquet")
@@ -47,7 +58,8 @@ def test_run(prepared, tmp_path, tokenizer_json):
         docs = prepared.read.parquet(f"{tmp_path}/{k}")
         seen.append(docs.collect())
     given, known, unique, cut, mixed, encoded = seen
-    assert sorted(known) == sorted(r for r in given if any(c.isalpha() for c in r.text or ""))
+    lettered = [r for r in given if any(c.isalpha() for c in r.text or "")]
+    assert sorted((r.doc_id, r.text, r.source) for r in known) == sorted((r.doc_id, r.text, r.source) for r in lettered)
     texts = {r.doc_id: r.text for r in known}
     assert {r.doc_id for r in unique} == smallest_of_groups(texts)
     check_passages({r.doc_id: r.text for r in unique}, cut)
