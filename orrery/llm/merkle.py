@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 PIECE_CHARS = 128
 NODE_DIGITS = 16
 SECTION_ENDS = "01"
+#: Code points of a text's beginning, and how many beginnings a range are sampled, to tell ranges of one id apart.
+BEGIN_CHARS = 64
+SAMPLE_A_RANGE = 50
 PIECE = r"[^.!?\n]{0,%d}[.!?\n]+|[^.!?\n]{1,%d}" % (PIECE_CHARS, PIECE_CHARS)
 
 
@@ -72,32 +75,66 @@ def differing_nodes(left: str, right: str) -> Column:
     return F.filter(F.flatten(apart), lambda k: k.isNotNull())
 
 
-def _cuts_below(value: Column, cuts: list[int]) -> Column:
+def _cuts_below(value: Column, cuts: list, sql_type: str = "bigint") -> Column:
     """How many of the sorted cuts lie below a value, searched in two levels of about the square root of their number."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts) - 1) + 1
     chunks = [cuts[at : at + step] for at in range(0, len(cuts), step)]
-    literal = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    literal = lambda values: F.array(*map(F.lit, values)).cast(f"array<{sql_type}>")
     started = F.size(F.filter(literal([c[0] for c in chunks]), lambda cut: value > cut))
     own = F.element_at(F.array(*map(literal, chunks)), F.greatest(started, F.lit(1)))
     return F.when(started > 0, (started - 1) * step + F.size(F.filter(own, lambda cut: value > cut))).otherwise(0)
 
 
+def _hot_ids(plain: DataFrame, ranges: int) -> dict[int | None, list[str]]:
+    """Ids (or null) of more than twice the rows that a range should have, with cuts between the beginnings of their texts: at most ranges / 2
+    ids, and cuts from a sample of SAMPLE_A_RANGE beginnings a range."""
+    total = plain.count()
+    most = 2 * total / ranges
+    counts = {r["doc_id"]: r["count"] for r in plain.groupBy("doc_id").count().where(F.col("count") > most).collect()} if ranges > 1 else {}
+    if not counts:
+        return {}
+    rate = min(1.0, SAMPLE_A_RANGE * ranges / total)
+    held = F.col("doc_id").isNull() if None in counts else F.lit(False)
+    held = held | F.col("doc_id").isin([i for i in counts if i is not None])
+    chosen = plain.where(held & (F.pmod(F.xxhash64("text"), F.lit(2**20)) <= int(rate * 2**20)))
+    begins: dict[int | None, list[str]] = {i: [] for i in counts}
+    for r in chosen.select("doc_id", F.substring("text", 1, BEGIN_CHARS).alias("begin")).distinct().collect():
+        begins[r["doc_id"]].append(r["begin"])
+    out = {}
+    for i, found in begins.items():
+        found.sort()
+        pieces = math.ceil(counts[i] * ranges / total)
+        out[i] = sorted({found[k * len(found) // pieces] for k in range(1, pieces)}) if found else []
+    return out
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, list[Column]]:
     """Rows dealt to ranges of ids for a window over `part`, and the order in it. Every range ends with a copy (halo) of the rows that follow it.
 
-    The bounds are one id a range; they reach the driver from a scan of ids alone. Texts are shuffled once, by the window."""
+    The bounds are one id a range; they reach the driver from a scan of ids alone. An id (or null) of very many rows is ranges of its own, by the
+    beginnings of its texts; rows alike in both stay together. Texts are shuffled once, by the window."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = plain.select("doc_id")
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
-    home = F.when(F.col("doc_id").isNull(), 0).otherwise(_cuts_below(F.col("doc_id"), cuts))
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    found = sorted(ids.groupBy(home.alias("home")).agg(first).collect(), key=lambda r: r["home"])
-    heads = [(r["first"]["doc_id"], found[k - 1]["home"]) for k, r in enumerate(found)]
-    head_rows = F.broadcast(spark.createDataFrame(heads, "head_id long, before int"))  # one row a range
-    joined = plain.withColumn("home", home).join(head_rows, F.col("doc_id").eqNullSafe(F.col("head_id")), "left")
+    hot = _hot_ids(plain, ranges)
+    cuts = set(ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []) if ranges > 1 else set()
+    cuts |= {x for i in hot if i is not None for x in (i - 1, i) if x >= -(2**63)}
+    begin, sub = F.lit(""), F.lit(0)
+    for i, own in hot.items():
+        here = F.col("doc_id").eqNullSafe(F.lit(i).cast("long"))
+        begin = F.when(here, F.substring("text", 1, BEGIN_CHARS)).otherwise(begin)
+        sub = F.when(here, _cuts_below(F.substring("text", 1, BEGIN_CHARS), own, "string")).otherwise(sub)
+    home = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _cuts_below(F.col("doc_id"), sorted(cuts)))
+    home = home * (1 + max(map(len, hot.values()), default=0)) + sub
+    placed = (plain if hot else ids).select("doc_id", begin.alias("begin"), home.alias("home"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "begin")).alias("first")
+    found = sorted(placed.groupBy("home").agg(first).collect(), key=lambda r: r["home"])
+    heads = [(r["first"]["doc_id"], r["first"]["begin"], found[k - 1]["home"]) for k, r in enumerate(found)]
+    head_rows = F.broadcast(spark.createDataFrame(heads, "head_id long, head_begin string, before int"))  # one row a range
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (begin == F.col("head_begin"))
+    joined = plain.withColumn("home", home).join(head_rows, same, "left")
     parts = F.when(F.col("before").isNull(), F.array("home")).otherwise(F.array("home", "before"))
     dealt = joined.select("doc_id", "text", F.posexplode(parts).alias("halo", "part"))
     return dealt, [F.col("halo"), F.col("doc_id").asc_nulls_first(), F.col("text")]

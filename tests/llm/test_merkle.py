@@ -82,3 +82,13 @@ def test_range_search(prepared):
     for cuts in ([], [4], [1, 3, 5], list(range(0, 500, 7))):
         df = prepared.range(-3, 520).select(F.col("id"), M._cuts_below(F.col("id"), cuts).alias("n"))
         assert all(r.n == sum(c < r.id for c in cuts) for r in df.collect())
+
+
+def test_a_hot_id_is_many_ranges(prepared):
+    """A null id and another one hold most rows: they are dealt to ranges by their texts, and every row still finds its successor."""
+    rows = [(None, f"text {k * 7919 % 300} of none. more") for k in range(300)] + [(7, f"{k * 31 % 200} of seven.") for k in range(200)] + [(k, f"own {k}.") for k in range(-30, 60)]
+    df = prepared.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, _ = M.in_ranges(df, 12)
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert max(sizes) < 200 and len(sizes) > 8
+    assert sorted(map(str, (tuple(r) for r in M.fingerprint_edits(df, 12).collect()))) == sorted(map(str, brute(rows)))
