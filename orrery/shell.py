@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from orrery.database import Database
 from orrery.status import Result
 
+FIRST, MORE = "orrery> ", "   ...> "
 HELP = """.help            this text
 .tables          the tables
 .schema TABLE    a table's columns (also .d TABLE)
@@ -48,9 +49,14 @@ def shown(result: Result) -> str:
     return table(result) if result.columns else f"OK, {result.affected} row{'s' * (result.affected != 1)} affected"
 
 
-def run(db: Database, lines: Iterable[str], out: Callable[[str], object] = print) -> None:
-    held = ""
-    for line in lines:
+def run(db: Database, lines: Iterable[str], out: Callable[[str], object] = print, prompt: Callable[[str], object] = lambda text: None) -> None:
+    """Run statements and commands. Before each line prompt is called: with FIRST, or with MORE while a statement is open."""
+    held, source = "", iter(lines)
+    while True:
+        prompt(MORE if held else FIRST)
+        line = next(source, None)
+        if line is None:
+            return
         word, _, rest = line.strip().partition(" ")
         if not held and word.startswith("."):
             if word == ".quit":
@@ -73,7 +79,7 @@ def run(db: Database, lines: Iterable[str], out: Callable[[str], object] = print
 
 def main() -> None:
     with Database(sys.argv[1] if len(sys.argv) > 1 else "database") as db:
-        run(db, sys.stdin)
+        run(db, sys.stdin, prompt=lambda text: print(text, end="", flush=True) if sys.stdin.isatty() else None)
 
 
 if __name__ == "__main__":

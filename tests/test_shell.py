@@ -1,4 +1,4 @@
-from orrery.shell import complete, run
+from orrery.shell import FIRST, MORE, complete, run
 
 
 def test_statement_ends():
@@ -12,3 +12,9 @@ def test_session(db):
     run(db, lines, out.append)
     assert out[0] == "OK, 0 rows affected" and out[1] == "OK, 1 row affected" and out[2] == "t" and out[3] == "a INTEGER\nb VARCHAR(9)" and out[4] == "no table nope"
     assert "| 1 | x;y |" in out[5] and out[5].endswith("1 row") and out[6].startswith("Error: invalid argument") and out[7] == "unknown command .what" and len(out) == 9
+
+
+def test_prompts(db):
+    asked = []
+    run(db, ["CREATE TABLE t (a INTEGER,", " b INTEGER);", ".tables"], lambda text: None, asked.append)
+    assert asked == [FIRST, MORE, FIRST, FIRST]
