@@ -48,10 +48,12 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
 
 def bands(distinct: np.ndarray) -> np.ndarray:
     """BANDS band hashes of a set that is not empty."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(distinct), 4096):  # multiples of well mixed hashes by odd numbers are orders of their own
+        least = np.minimum(least, (distinct[at : at + 4096] * _ODD[SHINGLE_WORDS:, None]).min(axis=1))
     out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BANDS * ROWS):
-        b = k // ROWS
-        out[b : b + 1] = mix(out[b : b + 1] * _ODD[0] + mix(distinct * _ODD[SHINGLE_WORDS + k]).min())
+    for r in range(ROWS):
+        out = mix(out * _ODD[0] + least[r::ROWS])
     return out
 
 

@@ -117,7 +117,8 @@ class Cut:
         n = stops - starts
         offsets = np.cumsum(n) - n
         own = self.shingles()[np.arange(int(n.sum())) + np.repeat(starts - offsets, n)]
-        least = [np.minimum.reduceat(mix(own * _ODD[SHINGLE_WORDS + k]), offsets) for k in range(BANDS * ROWS)]
+        # Shingle hashes are well mixed, so that multiples of them by odd numbers already are orders of their own.
+        least = [np.minimum.reduceat(own * _ODD[SHINGLE_WORDS + k], offsets) for k in range(BANDS * ROWS)]
         out = np.empty((len(lines), BANDS), np.uint64)
         for b in range(BANDS):
             total = np.full(len(lines), b, np.uint64)
@@ -157,10 +158,14 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def band_members(banded: DataFrame, parts: int) -> DataFrame:
-    """Distinct (h, band) of the bands that different h share, written."""
+    """Distinct (h, band) of the bands that different h share, one of those with the same h, written."""
     shared = banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band")
     shared = materialized(shared, "shared-bands", parts)
-    return materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
+    members = materialized(banded.join(maybe_broadcast(shared, 16), "band").distinct(), "band-members", parts)
+    # Near copies mostly share several bands, with the same members: one of those is enough. Sets are told apart by size and two sums of hashes.
+    held = members.groupBy("band").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+    needed = materialized(held.groupBy("n", "x1", "x2").agg(F.min("band").alias("band")).select("band"), "needed-bands", parts)
+    return materialized(members.join(maybe_broadcast(needed, 16), "band", "left_semi"), "needed-members", parts)
 
 
 def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
@@ -224,9 +229,9 @@ def _sorted(x: np.ndarray | frozenset) -> np.ndarray:
 
 
 def _member(shingles: pa.Buffer) -> np.ndarray | frozenset:
-    """Small sets meet faster as frozensets; long ones stay arrays of 8 bytes an entry."""
+    """Small sets meet faster as frozensets; longer ones stay arrays of 8 bytes an entry, an eighth of the memory."""
     found = np.frombuffer(shingles, np.uint64)
-    return frozenset(found.tolist()) if len(found) <= 1000 else found
+    return frozenset(found.tolist()) if len(found) <= 128 else found
 
 
 def _edges(held: list[tuple[int, int, np.ndarray | frozenset]], key: tuple | None) -> Iterator[pa.RecordBatch]:
