@@ -96,7 +96,7 @@ def links(docs: DataFrame, marked: DataFrame, parts: int) -> DataFrame:
 
     # Rows alike in id and text each give the set: one of them is enough.
     shingled = texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles"))
-    return verified_links(members, materialized(shingled, "shingle-sets", parts))
+    return verified_links(members, materialized(shingled, "shingle-sets"))  # wide rows: as many files as partitions
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

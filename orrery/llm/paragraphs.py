@@ -47,7 +47,7 @@ WINDOW_SPAN = MIN_RUN_WORDS - WINDOW_WORDS + 1
 #: where a changed word leaves fewer than MIN_RUN_WORDS words beyond it.
 REACH_WORDS = WINDOW_SPAN + MIN_RUN_WORDS - 3
 #: Members of a band are compared in blocks of so many; a task holds two blocks.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 
 _EDGE = b".,;:!?\"'()[]{}|*#%&$<>-"
 _ODD = np.random.default_rng(5).integers(0, 2**63, 2 * 16 + SHINGLE_WORDS, np.uint64) | np.uint64(1)
@@ -189,7 +189,7 @@ def _paragraph_links(docs: DataFrame, paragraphs: DataFrame, firsts: DataFrame,
             found = [np.unique(shingles[a : b - SHINGLE_WORDS + 1]).tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
             yield pa.record_batch([wanted.field("h"), pa.array(found, pa.binary())], names=["h", "shingles"])
 
-    shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets", parts)
+    shingled = materialized(texts.mapInArrow(sets, "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")  # wide rows: as many files as partitions
     return verified_links(members, shingled)
 
 
