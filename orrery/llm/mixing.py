@@ -51,12 +51,11 @@ def ranked(sources: DataFrame, parts: int) -> DataFrame:
     return joined.withColumn("place", F.col("before") + F.col("place") - F.shiftleft(F.col("part"), 33)).drop("part", "before")
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
+def source_targets(sizes: DataFrame, parts: int = 1) -> DataFrame:
     """(source, source_size, n_docs, target) for entries (source, size, n rows alike), a written table: sources may be as many as hosts. Sources whose share of what is left by weight
     exceeds MAX_REPEATS times their size stop there, until none does; the driver gets two sums a round."""
     found = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
-    found = materialized(found, "sources")
-    parts = parts_for(found.count())
+    found = materialized(found, "sources", parts)
     found = materialized(ranked(found, parts).withColumn("weight", 1 + F.col("place") % 3), "weighed-sources", parts)
     most, price = MAX_REPEATS * F.col("source_size"), F.lit(0.0)  # words a unit of weight; a source is full where its cap is below its share
     total, full = found.agg(F.sum("source_size")).first()[0] or 0, -1
@@ -159,8 +158,9 @@ def groups(docs: DataFrame, seed: int, block_rows: int, fan_in: int) -> DataFram
     Rows alike are one entry: pivotal steps among them end with the whole part of n times the fraction taken, and one fractional row, which
     alone goes on. Shuffles carry ids and sizes only. A hot source is many blocks of about block_rows, by a hash of ids and texts."""
     sizes = materialized(sized(docs).groupBy("doc_id", "rid", "source", "size").agg(F.count("*").alias("n")), "sizes")
-    parts = 4 * parts_for(sizes.count())
-    targets = source_targets(sizes)
+    count = sizes.count()
+    parts = 4 * parts_for(count)
+    targets = source_targets(sizes, parts_for(count))
     side = maybe_broadcast(targets, 80)
     rate = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS)))).otherwise(0.0)
     joined = sizes.withColumnRenamed("source", "own").join(side, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("rate", rate)
