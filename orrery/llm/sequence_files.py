@@ -2,7 +2,7 @@
 
 Documents are laid end to end in ascending document id, an end id after each, and cut into sequences of fixed length. A file is an Arrow
 IPC file whose record batches hold a fixed-size list of ids and a fixed-size list of mask values, a byte each (1: a real token, 0: padding at
-the file's end). All batches but a file's last have equally many sequences, so sequence k sits in batch k // batch_rows at row k % batch_rows,
+the file's end). Masks are dictionary-encoded: a file has two at most, that of a full sequence and that of its last. All batches but a file's last have equally many sequences, so sequence k sits in batch k // batch_rows at row k % batch_rows,
 and a memory-mapped reader gets it without copying. A Parquet index maps each document to its file, offset and length.
 
 Defined cases: null text is empty (the end id alone); null ids sort first; rows of equal id sort by text, and those whose
@@ -41,10 +41,10 @@ class _Packer:
         self.dtype, self.seq_len, self.batch_tokens = dtype, seq_len, seq_len * batch_rows
         value = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema(
-            [("input_ids", pa.list_(value, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))],
+            [("input_ids", pa.list_(value, seq_len)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), seq_len)))],
             metadata={"seq_len": str(seq_len), "batch_rows": str(batch_rows)},
         )
-        self.writer = pa.ipc.new_file(out, self.schema)
+        self.writer = pa.ipc.new_file(out, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.held: list[bytes] = []
         self.held_tokens = 0
 
@@ -59,10 +59,14 @@ class _Packer:
             self.held, self.held_tokens = [flat[full:].tobytes()], len(flat) - full
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (flat, mask)]
-        self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
+        """Whole sequences of which all but the last hold real tokens alone."""
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len)
+        kinds, which = [np.ones(self.seq_len, np.uint8)], np.zeros(len(ids), np.int8)
+        if real < len(flat):
+            kinds.append((np.arange(self.seq_len) < real - len(flat) + self.seq_len).astype(np.uint8))
+            which[-1] = 1
+        masks = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(kinds)), self.seq_len)
+        self.writer.write_batch(pa.record_batch([ids, pa.DictionaryArray.from_arrays(pa.array(which), masks)], schema=self.schema))
 
     def close(self) -> None:
         flat = np.frombuffer(b"".join(self.held), self.dtype)
@@ -128,7 +132,8 @@ class SequenceFile:
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of sequence k, both without a copy."""
         ids, mask = self.reader.get_batch(k // self.batch_rows).slice(k % self.batch_rows, 1).columns
-        return ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=True)
+        kind = mask.dictionary.slice(mask.indices[0].as_py(), 1)
+        return ids.flatten().to_numpy(zero_copy_only=True), kind.flatten().to_numpy(zero_copy_only=True)
 
     def tokens(self, start: int, count: int) -> np.ndarray:
         """A run of ids by its place in the file, across sequences."""
