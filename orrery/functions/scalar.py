@@ -86,16 +86,21 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
     return Typed({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b), "BIGINT")
 
 
-def comparison(op: str, left: Typed, right: Typed) -> Typed:
-    a, b = left.column, right.column
+def comparable(left: Typed, right: Typed) -> tuple[Column, Column]:
+    """Both sides of a comparison in one type."""
     families = {left.family, right.family} - {"null", "unknown"}
     if len(families) > 1:
         raise invalid(f"cannot compare {left.sql_type} with {right.sql_type}")
-    if "null" in (left.family, right.family):
-        return Typed(F.lit(None).cast("boolean"), "BOOLEAN")
     if left.family == right.family == "numeric":
         wide = "bigint" if left.sql_type in INTEGERS and right.sql_type in INTEGERS else "double"
-        a, b = a.cast(wide), b.cast(wide)
+        return left.column.cast(wide), right.column.cast(wide)
+    return left.column, right.column
+
+
+def comparison(op: str, left: Typed, right: Typed) -> Typed:
+    a, b = comparable(left, right)
+    if "null" in (left.family, right.family):
+        return Typed(F.lit(None).cast("boolean"), "BOOLEAN")
     found = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}
     return Typed(found[op], "BOOLEAN")
 

@@ -5,14 +5,15 @@ Every input column gets an internal name of its own, so equal names never clash;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.aggregates import lower_aggregate
-from orrery.functions.scalar import Typed, lower, predicate
+from orrery.functions.scalar import Typed, comparable, lower, predicate
 from orrery.operators.relational import join, limited, ordered
 from orrery.plans import nodes as N
 from orrery.status import StatusCode, SqlError, invalid, unsupported
@@ -35,11 +36,15 @@ class Scope:
 
     columns: list[tuple[str, str, str, str]] = field(default_factory=list)
 
+    def find(self, name: N.Name) -> tuple[str, str] | None:
+        """Internal name and type of the first match."""
+        return next(((i, t) for label, c, i, t in self.columns if c == name.column and name.table in (None, label)), None)
+
     def resolve(self, name: N.Name) -> Typed:
-        for label, column, internal, sql_type in self.columns:
-            if column == name.column and name.table in (None, label):
-                return Typed(F.col(internal), sql_type)
-        raise invalid(f"unknown column {name.table + '.' if name.table else ''}{name.column}")
+        found = self.find(name)
+        if found is None:
+            raise invalid(f"unknown column {name.table + '.' if name.table else ''}{name.column}")
+        return Typed(F.col(found[0]), found[1])
 
     def add(self, label: str, source: Source, number: int) -> DataFrame:
         internal = [f"r{number}_{k}" for k in range(len(source.columns))]
@@ -65,13 +70,51 @@ def plan_select(select: N.Select, catalog: Catalog) -> Planned:
     df = scope.add(select.relation.label, catalog(select.relation.table), 0)
     for k, j in enumerate(select.joins, 1):
         right = scope.add(j.relation.label, catalog(j.relation.table), k)
-        df = join(df, right, j.kind, None if j.condition is None else predicate(j.condition, scope.resolve))
+        condition = None if j.condition is None else predicate(j.condition, scope.resolve)
+        df = join(df, right, j.kind, condition, *_equalities(df, right, j, select.where, scope))
     if select.where is not None:
         df = df.where(predicate(select.where, scope.resolve))
     grouped = bool(select.group_by) or any(isinstance(i.expression, N.Aggregate) for i in select.items or ())
     return _grouped(df, scope, select) if grouped else _plain(df, scope, select)
 
 
+def _conjuncts(node: object) -> Iterator[object]:
+    if isinstance(node, N.Binary) and node.op == "AND":
+        yield from _conjuncts(node.left)
+        yield from _conjuncts(node.right)
+    elif node is not None:
+        yield node
+
+
+def _names(node: object) -> Iterator[N.Name]:
+    if isinstance(node, N.Name):
+        yield node
+    for inner in (getattr(node, f, None) for f in ("left", "right", "operand")):
+        if inner is not None:
+            yield from _names(inner)
+
+
+def _equalities(left: DataFrame, right: DataFrame, j: N.Join, where: object | None, scope: Scope) -> tuple[list[tuple[Column, Column]], Column | None]:
+    """What a join's condition, and where no side of it is kept whole also the WHERE, says of equal expressions of its two sides, and the rest of
+    the condition."""
+
+    def side(node: object) -> int | None:
+        found = [scope.find(n) for n in _names(node)]
+        held = {None if f is None else 0 if f[0] in left_names else 1 for f in found}
+        return held.pop() if len(held) == 1 else None
+
+    left_names, keys, rest = set(left.columns), [], []
+    own = list(_conjuncts(j.condition))
+    for k, c in enumerate([*own, *(_conjuncts(where) if j.kind in ("INNER", "CROSS") else ())]):
+        sides = (side(c.left), side(c.right)) if isinstance(c, N.Binary) and c.op == "=" else ()
+        if sides in ((0, 1), (1, 0)):
+            a, b = comparable(lower(c.left, scope.resolve), lower(c.right, scope.resolve))
+            keys.append((a, b) if sides == (0, 1) else (b, a))
+        elif k < len(own):
+            rest.append(predicate(c, scope.resolve))
+    return keys, reduce(Column.__and__, rest) if rest else None
+
+
 def _item_name(item: N.Item) -> str:
     e = item.expression
     if item.alias:

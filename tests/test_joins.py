@@ -1,0 +1,50 @@
+"""Joins whose keys repeat on both sides: their pairs are dealt out, and the rows stay those of the plain join."""
+
+from collections import Counter
+
+import pytest
+
+from orrery.operators import relational as R
+from orrery.parquet_sql import select
+
+
+@pytest.fixture
+def tables(spark):
+    a = spark.range(700).selectExpr("CAST(id AS INT) AS id", "CAST(CASE WHEN id % 10 < 6 THEN 1 WHEN id % 10 < 9 THEN id % 5 + 2 END AS INT) AS k", "IF(id % 3 = 0, 'x', 'y') AS s").coalesce(1)
+    b = spark.range(300).selectExpr("id", "IF(id % 2 = 0, 1L, id % 9) AS k", "'x' AS s").coalesce(1)
+    return {"a": a, "b": b}
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    monkeypatch.setattr(R, "PAIRS_A_CELL", 900)
+    monkeypatch.setattr(R, "SPREAD_FROM", 3600)
+
+
+def rows(text, tables):
+    return Counter(tuple(r) for r in select(text, tables).collect())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.id AS i, b.id AS j FROM a JOIN b ON a.k = b.k", "SELECT a.id AS i, c.id AS j FROM a JOIN a c ON a.k = c.k WHERE a.id < c.id", "SELECT a.id AS i, b.id AS j FROM a LEFT JOIN b ON a.k = b.k AND a.id < b.id",
+        "SELECT a.id AS i, b.id AS j FROM a RIGHT JOIN b ON b.k = a.k AND a.id < b.id", "SELECT a.id AS i, b.id AS j FROM a CROSS JOIN b WHERE a.k = b.k", "SELECT a.id AS i, b.id AS j FROM a JOIN b ON a.k = b.k AND a.s = b.s AND a.id <> b.id",
+        "SELECT a.s AS i, b.s AS j FROM a JOIN b ON a.k = b.k", "SELECT * FROM a LEFT JOIN b ON a.k = b.k AND a.k = 1", "SELECT a.id AS i, b.id AS j, c.id AS l FROM a JOIN b ON a.k = b.k AND b.id < 20 RIGHT JOIN b c ON c.id = a.k WHERE a.s = b.s",
+    ],
+)
+def test_same_rows(tables, small_cells, monkeypatch, text):
+    dealt = rows(text, tables)
+    assert "_own0" in select(text, tables)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(R, "SPREAD_FROM", 10**12)
+    assert dealt == rows(text, tables)
+
+
+def test_pairs_of_one_key_meet_in_many_tasks(tables, small_cells):
+    found = select("SELECT a.id AS i, b.id AS j FROM a JOIN b ON a.k = b.k AND a.k = 1", tables)
+    sizes = [n for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == found.count() > 70_000 and max(sizes) < sum(sizes) / 8
+
+
+def test_few_pairs_stay_a_plain_join(tables):
+    assert "_own0" not in select("SELECT a.id AS i FROM a JOIN b ON a.k = b.k", tables)._jdf.queryExecution().optimizedPlan().toString()
