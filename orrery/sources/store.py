@@ -18,6 +18,10 @@ RID, SEQUENCE, WAS = "_rid", "_seq", "_was"
 ROWS_A_BATCH_FILE = 1_000_000
 #: So many small batches of one level are merged into one of the next; a level is the last part of a batch's name.
 MERGE_BATCHES = 16
+#: Rows of both sides that a task of a join by identity sorts, about 80 bytes each.
+ROWS_A_TASK = 1_500_000
+#: So many removed versions (two longs each) are broadcast, whatever their files' size.
+REMOVED_TO_BROADCAST = 500_000
 
 
 def stored_schema(table: Table) -> T.StructType:
@@ -25,6 +29,14 @@ def stored_schema(table: Table) -> T.StructType:
     return T.StructType(hidden + [T.StructField(f"c{k}", c.spark_type) for k, c in enumerate(table.columns)])
 
 
+def dealt_out(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows by hash into as many tasks as n rows need, where Spark's own number may be smaller (it joins partitions down to one a core): what a task
+    holds does not grow."""
+    session = rows.sparkSession
+    tasks, partitions = -(-n // ROWS_A_TASK), int(session.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, partitions), *by) if tasks > min(partitions, session.sparkContext.defaultParallelism) else rows
+
+
 class Store:
     def __init__(self, spark: SparkSession, data_uri: str):
         self.spark, self.data_uri = spark, data_uri
@@ -33,7 +45,8 @@ class Store:
         return f"{table.oid}-{sequence}-{uuid.uuid4().hex[:8]}"
 
     def read(self, table: Table) -> DataFrame:
-        """Hidden columns and c0, c1, ... of every live row version. Removed versions go by an anti join, by broadcast while they are few."""
+        """Hidden columns and c0, c1, ... of every live row version. Removed versions go by an anti join, by broadcast while they are few, else in as
+        many tasks as the versions need."""
         schema = stored_schema(table)
         if not table.files:
             return self.spark.createDataFrame([], schema).drop(WAS)
@@ -43,7 +56,13 @@ class Store:
         if not table.removals:
             return rows
         removed = self.spark.read.schema(f"{RID} long, {WAS} long").parquet(*(f"{self.data_uri}/{f}" for f in table.removals))
-        return rows.join(removed.select(F.col(RID).alias("_gone"), WAS), (F.col(RID) == F.col("_gone")) & (F.col(SEQUENCE) == F.col(WAS)), "left_anti")
+        removed = removed.select(F.col(RID).alias("_gone"), WAS)
+        if table.removed <= REMOVED_TO_BROADCAST:
+            removed = F.broadcast(removed)
+        else:
+            n = table.rows + 2 * table.removed  # removed versions are among the rows read, too
+            rows, removed = dealt_out(rows, n, RID, SEQUENCE), dealt_out(removed, n, "_gone", WAS)
+        return rows.join(removed, (F.col(RID) == F.col("_gone")) & (F.col(SEQUENCE) == F.col(WAS)), "left_anti")
 
     def append(self, table: Table, rows: Sequence[Sequence[object]], first_rid: int, sequence: int) -> str:
         """Write literal rows as one batch."""
